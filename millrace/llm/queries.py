@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing
+from millrace.llm import embeddings, exact, mixing, neardup, packing, sharding, toxicity
 from millrace.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,51 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op4_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+def op6_radix_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_fast_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("rid")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_int8_embedding_dedup": op4_int8_embedding_dedup,
+        "op5_hilbert_sharding": op5_hilbert_sharding,
+        "op6_radix_exact_dedup": op6_radix_exact_dedup,
+        "op8_toxicity_chain": op8_toxicity_chain,
+        "op9_fast_similarity_dedup": op9_fast_similarity_dedup,
+        "op10_subset_sum_mixing": op10_subset_sum_mixing,
     }
 
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+""".replace("\\\\", "\\")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_radix_exact_dedup": OP6_SQL}
