@@ -31,12 +31,12 @@ def _radix(docs: DataFrame, text: str, key: str) -> DataFrame:
     active = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.lit(0).cast("long").alias("gid"), F.col(f"`{key}`").alias("doc_id"), body.alias("body")
     ).withColumn("sha", F.unhex(F.sha2("body", 256)))
-    done, last, width = [], None, FIRST_DIGIT
+    done, width = [], FIRST_DIGIT
     while True:
         split = active.withColumn("digit", F.substring("body", 1, width)).withColumn("ended", F.length("body") <= width)
-        groups = split.groupBy("gid", "digit", "ended").agg(
-            F.count("*").alias("n"), F.min("doc_id").alias("keep_id"), F.min("rid").alias("next")
-        )
+        counts = [F.count("*").alias("n"), F.min("doc_id").alias("keep_id"), F.min("rid").alias("next")]
+        # Staged, so that the join below reads both sides as they are and can split a hot digit's rows.
+        groups = stage(split.groupBy("gid", "digit", "ended").agg(*counts), "digits")
         open_ = (F.col("n") > 1) & ~F.col("ended")
         rows = split.join(groups, ["gid", "digit", "ended"]).select(
             "rid",
@@ -48,6 +48,7 @@ def _radix(docs: DataFrame, text: str, key: str) -> DataFrame:
             F.when(open_, F.expr(f"substring(body, {width + 1})")).alias("body"),
         )
         level = stage(rows, "radix")
+        unstage(groups)
         done.append(level.where("body is null"))
         active = level.where("body is not null").select("rid", "gid", "doc_id", "body", "sha")
         if active.isEmpty():

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by fitting each source's word budget.
 
 Every source gets a share of all words by weight, at most three times its own.
-Whole passes over a source cover the integer part of its budget. For the rest,
-documents are counted by exact length, an even share of every length class is
-taken, and a bounded-knapsack dynamic programme over the counts still free hits
-what remains. Which documents of a class are taken is decided by a seeded hash.
+Whole passes over a source cover most of a budget above its own size. For the
+rest, documents are counted by exact length, an even share of every length class
+is taken, and a bounded-knapsack dynamic programme over the counts still free
+hits what remains. Which documents of a class are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -51,18 +51,23 @@ def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents to take of each size so that their words come to ``budget`` or just below."""
+    """How many to take of each size so that their words come to ``budget`` or just below.
+
+    An even share of every class comes first, short of the budget by a few of the
+    longest; the exact part chooses from what every class then still has.
+    """
     total = int((sizes * counts).sum())
-    if budget <= 0 or total == 0:
-        return np.zeros(len(sizes), np.int64)
     take = counts * 0
+    if budget <= 0 or total == 0:
+        return take
     use = sizes > 0
-    take[use] = [int(c) * budget // total for c in counts[use]]
-    rest = budget - int((sizes * take).sum())
     longest = int(sizes.max())
-    for k in np.argsort(-sizes):  # leave about one longest document for the exact part
-        if use[k] and rest > 2 * longest:
-            more = min(int(counts[k] - take[k]), (rest - longest) // int(sizes[k]))
+    shy = max(0, budget - 4 * longest)
+    take[use] = [int(c) * shy // total for c in counts[use]]
+    rest = budget - int((sizes * take).sum())
+    for k in np.argsort(-sizes):  # rounding down loses up to one of each size
+        if use[k] and rest > 6 * longest:
+            more = min(int(counts[k] - take[k] + 1) // 2, (rest - 4 * longest) // int(sizes[k]))
             take[k] += more
             rest -= more * int(sizes[k])
     free = use & (counts > take) & (sizes <= rest)
@@ -123,18 +128,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("size")
         target, total = float(part["target"].iloc[0]), int(part["source_size"].iloc[0])
-        whole = min(most, int(target // total)) if total else 0
-        budget = round(target - whole * total) if whole < most else 0
-        part["whole"] = whole
-        part["extra"] = fit(part["size"].to_numpy(), part["n"].to_numpy(), budget)
-        return part[["key", "size", "first", "source_size", "target", "whole", "extra"]]
+        # One pass less than would fit leaves the exact part room; it fills up to ``most`` copies.
+        base = max(0, min(most, int(target // total)) - 1) if total else 0
+        counts = part["n"].to_numpy()
+        units = fit(part["size"].to_numpy(), counts * (most - base), round(target - base * total))
+        part["each"] = base + units // counts
+        part["more"] = units % counts
+        return part[["key", "size", "first", "source_size", "target", "each", "more"]]
 
     chosen = (
         classes.join(goal, "key")
         .groupBy("key")
-        .applyInPandas(choose, "key string, size long, first long, source_size long, target double, whole long, extra long")
+        .applyInPandas(choose, "key string, size long, first long, source_size long, target double, each long, more long")
     )
-    copies = F.col("whole") + (F.col("position") - F.col("first") < F.col("extra")).cast("long")
+    copies = F.col("each") + (F.col("position") - F.col("first") < F.col("more")).cast("long")
     return ranked.join(chosen, ["key", "size"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rid"
     )
