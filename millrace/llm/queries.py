@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embeddings, exact, mixing, neardup, packing, sharding, toxicity
+from millrace.llm import embeddings, exact, lines, mixing, neardup, packing, pii, sharding, tokencounts, toxicity
 from millrace.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.document_token_counts(read(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op4_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -34,6 +42,10 @@ def op6_radix_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -49,9 +61,12 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_weak_supervision_pii": op2_weak_supervision_pii,
+        "op3_separator_scan": op3_separator_scan,
         "op4_int8_embedding_dedup": op4_int8_embedding_dedup,
         "op5_hilbert_sharding": op5_hilbert_sharding,
         "op6_radix_exact_dedup": op6_radix_exact_dedup,
+        "op7_suffix_line_dedup": op7_suffix_line_dedup,
         "op8_toxicity_chain": op8_toxicity_chain,
         "op9_fast_similarity_dedup": op9_fast_similarity_dedup,
         "op10_subset_sum_mixing": op10_subset_sum_mixing,
