@@ -30,8 +30,9 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 
 def _lines(docs: DataFrame) -> DataFrame:
     """rid, doc_id, i, w (words), h1, h2 of each line."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")  # before the lines are parted
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("doc_id"), F.posexplode(split).alias("i", "line"))
+    rows = numbered.select("rid", "doc_id", F.posexplode(split).alias("i", "line"))
     return rows.select(
         "rid", "doc_id", F.col("i").cast("long").alias("i"), F.regexp_count("line", F.lit(_WORDS)).cast("long").alias("w"),
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"),

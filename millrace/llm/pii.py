@@ -201,6 +201,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def _decided(found: DataFrame, decide: float) -> tuple[Column, Column]:
     """The strict spans, and all spans with those that the classifier trained on ``found`` adds."""
     one = found.select(F.explode("found").alias("c")).select("c.*")
@@ -223,7 +227,7 @@ def personal_data(docs: DataFrame, decide: float = DECIDE) -> DataFrame:
     base, every = _decided(found, decide)
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[_count(base, k) for k in KINDS],
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(every).alias("spans"),
     )
