@@ -60,6 +60,8 @@ def cutoffs(weeks: DataFrame, columns: list[str], probabilities: tuple[float, ..
     """(symbol, signal, q, cut): exact linear quantiles of each signal."""
     rows = long(weeks, columns, "signal", "s").groupBy("symbol", "signal")
     found = rows.agg(F.percentile("s", F.array(*map(F.lit, probabilities))).alias("_c"))
+    # A signal without values has null cutoffs.
+    found = found.withColumn("_c", F.coalesce("_c", F.array_repeat(F.lit(None).cast("double"), len(probabilities))))
     grid = F.posexplode("_c").alias("_k", "cut")
     qs = F.array(*map(F.lit, probabilities))
     return found.select("symbol", "signal", grid).select("symbol", "signal", F.element_at(qs, F.col("_k") + 1).alias("q"), "cut")

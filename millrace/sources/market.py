@@ -30,7 +30,7 @@ def option_chain(spark: SparkSession, root: str, symbol: str) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(path)
     rows = spark.read.schema(schemas.CHAIN).parquet(path).select(
-        "*", F.regexp_extract("_metadata.file_name", r"chain_(\d{4}-\d{2})\.parquet$", 1).alias("ym")
+        "*", F.regexp_extract("_metadata.file_path", r"chain_(\d{4}-\d{2})\.parquet", 1).alias("ym")
     )
     return derive_chain(rows.withColumn("symbol", F.lit(symbol.upper())))
 
