@@ -84,10 +84,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         right = level.select("rid", F.col("i").alias("t"), F.col("r").alias("b"))
         named = some.withColumn("t", F.col("s") + F.col("l") - width).join(left, ["rid", "s"]).join(right, ["rid", "t"]).join(ids, "rid")
         named = stage(named.select("rid", "s", "l", "a", "b", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid", "s").alias("at")), "named")
-        firsts = named.groupBy("l", "a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        # Staged, so that the join reads both sides as they are and can split a hot run's rows.
+        firsts = stage(named.groupBy("l", "a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
         again = named.join(firsts, ["l", "a", "b"]).where(F.col("at") != F.col("first"))
         later.append(stage(again.select("rid", "s", (F.col("s") + F.col("l")).alias("e")), "later"))
-        unstage(named)
+        unstage(named, firsts)
         if 2 * width > longest:
             break
         level = _doubled(level, width)

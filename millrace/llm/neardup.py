@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     group of g different sets the work, not the memory, grows with the square of g.
     """
     rows = stage(_labelled(docs, percent), "labelled")
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # Staged, so that the join reads both sides as they are and can split a hot component's rows.
+    least = stage(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "comp", "left").select(
         "doc_id",
         "n_shingles",
