@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,14 +29,27 @@ def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2.0) / SQRT_2PI
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once, however often it is mentioned.
+
+    Written out, the pricing formulas mention their inner terms dozens of times and
+    outgrow what a compiled method may hold.
+    """
+    return F.transform(F.array(x), use)[0]
+
+
 def norm_cdf(x: Column) -> Column:
     """The normal distribution function, to 2e-16."""
-    a = F.abs(x)
-    z = F.exp(-a * a / 2.0)
-    poly = lambda cs: reduce(lambda acc, c: acc * a + c, cs[1:], F.lit(cs[0]))
-    far = a + F.lit(1.0) / (a + F.lit(2.0) / (a + F.lit(3.0) / (a + F.lit(4.0) / (a + 0.65))))
-    tail = F.when(a > 37.0, 0.0).when(a < TAIL_EDGE, z * poly(TAIL_TOP) / poly(TAIL_BOTTOM)).otherwise(z / far / TAIL_SCALE)
-    return F.when(x > 0, 1.0 - tail).otherwise(tail)
+
+    def use(x: Column) -> Column:
+        a = F.abs(x)
+        z = F.exp(-a * a / 2.0)
+        poly = lambda cs: reduce(lambda acc, c: acc * a + c, cs[1:], F.lit(cs[0]))
+        far = a + F.lit(1.0) / (a + F.lit(2.0) / (a + F.lit(3.0) / (a + F.lit(4.0) / (a + 0.65))))
+        tail = F.when(a > 37.0, 0.0).when(a < TAIL_EDGE, z * poly(TAIL_TOP) / poly(TAIL_BOTTOM)).otherwise(z / far / TAIL_SCALE)
+        return F.when(x > 0, 1.0 - tail).otherwise(tail)
+
+    return bound(x, use)
 
 
 def year_fraction(expiration: Column, day: Column) -> Column:
@@ -47,18 +60,16 @@ def forward_price(spot: Column, t: Column, r: Column, q: Column) -> Column:
     return spot * F.exp((r - q) * t)
 
 
-def _d1_d2(fwd: Column, strike: Column, t: Column, vol: Column) -> tuple[Column, Column]:
-    spread = vol * F.sqrt(t)
-    d1 = (F.log(fwd / strike) + vol * vol * t / 2.0) / spread
-    return d1, d1 - spread
+def _d1(fwd: Column, strike: Column, t: Column, vol: Column) -> Column:
+    return (F.log(fwd / strike) + vol * vol * t / 2.0) / (vol * F.sqrt(t))
 
 
 def black76_price(fwd: Column, strike: Column, t: Column, vol: Column, df: Column, call: Column) -> Column:
     """Discounted value on a forward; without time or volatility, discounted intrinsic value."""
     sign = F.when(call, 1.0).otherwise(-1.0)
     intrinsic = df * F.greatest(sign * (fwd - strike), F.lit(0.0))
-    d1, d2 = _d1_d2(fwd, strike, t, vol)
-    return F.when((t <= 0) | (vol <= 0), intrinsic).otherwise(df * sign * (fwd * norm_cdf(sign * d1) - strike * norm_cdf(sign * d2)))
+    live = bound(_d1(fwd, strike, t, vol), lambda d1: df * sign * (fwd * norm_cdf(sign * d1) - strike * norm_cdf(sign * (d1 - vol * F.sqrt(t)))))
+    return F.when((t <= 0) | (vol <= 0), intrinsic).otherwise(live)
 
 
 def bs_price(spot: Column, strike: Column, t: Column, vol: Column, r: Column, q: Column, call: Column) -> Column:
@@ -70,19 +81,21 @@ def bs_greeks(spot: Column, strike: Column, t: Column, vol: Column, r: Column, q
     """Struct of delta, gamma, vega, theta (a year) and rho; a step delta and zeros when degenerate."""
     sign = F.when(call, 1.0).otherwise(-1.0)
     flat = (t <= 0) | (vol <= 0)
-    d1, d2 = _d1_d2(forward_price(spot, t, r, q), strike, t, vol)
     grow, disc, root = F.exp(-q * t), F.exp(-r * t), F.sqrt(t)
-    hit = norm_cdf(sign * d2)
-    theta = -spot * grow * norm_pdf(d1) * vol / (2.0 * root) - sign * r * strike * disc * hit + sign * q * spot * grow * norm_cdf(sign * d1)
-    live = {
-        "delta": sign * grow * norm_cdf(sign * d1),
-        "gamma": grow * norm_pdf(d1) / (spot * vol * root),
-        "vega": spot * grow * norm_pdf(d1) * root,
-        "theta": theta,
-        "rho": sign * strike * t * disc * hit,
-    }
+
+    def live(d1: Column) -> Column:
+        near = F.struct(norm_cdf(sign * d1).alias("n1"), norm_cdf(sign * (d1 - vol * root)).alias("n2"), norm_pdf(d1).alias("pdf"))
+        return bound(near, lambda n: F.struct(
+            (sign * grow * n["n1"]).alias("delta"),
+            (grow * n["pdf"] / (spot * vol * root)).alias("gamma"),
+            (spot * grow * n["pdf"] * root).alias("vega"),
+            (-spot * grow * n["pdf"] * vol / (2.0 * root) - sign * r * strike * disc * n["n2"] + sign * q * spot * grow * n["n1"]).alias("theta"),
+            (sign * strike * t * disc * n["n2"]).alias("rho"),
+        ))
+
     step = F.when(sign * (spot - strike) > 0, sign).otherwise(0.0)
-    return F.struct(*[F.when(flat, step if k == "delta" else 0.0).otherwise(v).alias(k) for k, v in live.items()])
+    none = [F.lit(0.0).alias(k) for k in ("gamma", "vega", "theta", "rho")]
+    return F.when(flat, F.struct(step.alias("delta"), *none)).otherwise(bound(_d1(forward_price(spot, t, r, q), strike, t, vol), live))
 
 
 def per_day_theta(theta: Column) -> Column:
