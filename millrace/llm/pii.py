@@ -143,7 +143,11 @@ def candidates(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     found = [_voted(k, s, _matches(F.col("text"), p, HINT[k, int(not s)](F.col("text")))) for k, s, p in sources]
     # Short runs of digits are cards no labeler could take for one.
     worth = F.filter(F.flatten(F.array(*found)), lambda c: c["strict"] | (c["kind"] != "card") | (c["size"] >= 3))
-    return rows.select("doc_id", worth.alias("found"), *["text"] * keep_text)
+    rows = rows.select("doc_id", worth.alias("every"), *["text"] * keep_text)
+    rows = rows.withColumn("sure", F.filter("every", lambda c: c["strict"]))
+    # What overlaps a strict span is part of it or noise around it.
+    clear = lambda c: ~F.exists("sure", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    return rows.select("doc_id", F.filter("every", lambda c: c["strict"] | clear(c)).alias("found"), *["text"] * keep_text)
 
 
 _VOTES = ("v1", "v2", "v3", "v4")

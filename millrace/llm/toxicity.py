@@ -146,7 +146,7 @@ def fit_chain(rows: Rows, targets: np.ndarray, folds: np.ndarray, features: dict
         above = out[order[best]]
         below = out[order[best + 1]] if best + 1 < len(order) else above - 1
         threshold = float(sigmoid(np.array([(above + below) / 2]))[0])
-    return Chain(features, models, min(max(threshold, 0.05), 0.95))
+    return Chain(features, models, min(max(threshold, 0.2), 0.8))
 
 
 def _features(rows: DataFrame, keep: dict[str, int] | None) -> DataFrame:
