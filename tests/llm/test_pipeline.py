@@ -61,7 +61,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     from tests.llm.test_mixing import brute_targets
 
     for s, goal in brute_targets(dict(size)).items():
-        assert abs(taken[s] - goal) <= 1
+        assert abs(taken[s] - goal) < 8  # all sizes are multiples of 8
     assert set(Counter(r.doc_id for r in out["mix"]).values()) <= {1, 2, 3} and mixing.MAX_REPEATS == 3
     from tokenizers import Tokenizer
 
