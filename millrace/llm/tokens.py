@@ -18,7 +18,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks kept per worker; the cache starts afresh beyond that.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 300_000
 #: Longer chunks are encoded each time instead of being kept.
 CACHE_BYTES = 64
 
@@ -93,7 +93,7 @@ class ChunkEncoder:
         for t in texts:
             group.append(t.split())
             size += len(t)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 out += self._encode(group)
                 group, size = [], 0
         return out + self._encode(group)

@@ -30,7 +30,7 @@ FEATURES = 4_096
 FOLDS = 5
 #: Documents that a feature must be in to be considered.
 LEAST = 3
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 
 # English terms whose presence in a document labelled toxic tells its category.
 INSULT = ("clown", "idiot", "loser", "moron", "stupid")
