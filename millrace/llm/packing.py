@@ -180,15 +180,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         enc = encoder(tokenizer)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            names: list[int | None] = batch.column(0).to_pylist()
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for k in range(0, len(texts), 512):
+            for k in range(0, len(batch), 512):
+                part = batch.slice(k, 512)
+                texts = [t or b"" for t in part.column(1).to_pylist()]
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(names[k : k + 512], enc.encode(texts[k : k + 512])):
+                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(texts)):
                     ids += end
                     for i in range(0, len(ids), step):
-                        part = ids[i : i + step]
-                        row = (doc, i // step, i // 4, len(part) // 4, zlib.crc32(part), part)
+                        cut_ids = ids[i : i + step]
+                        row = (doc, i // step, i // 4, len(cut_ids) // 4, zlib.crc32(cut_ids), cut_ids)
                         for c, v in zip(cols, row):
                             c.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
