@@ -4,8 +4,9 @@ Documents with equal shingle sets form a class. Each class's sketch is cut into
 bands, and classes that share a band are candidates; candidates that hang together
 form a candidate group. Inside a group every two sets are compared in full, in
 cells of at most two blocks, and a cell returns links that span what it found, not
-its pairs. A pair at the threshold shares no band with a probability of
-(1 - 0.85**5)**25 = 4e-7, less above it.
+its pairs. Bands and their rows follow from the threshold: at 0.85, 25 bands of 5
+rows, and a pair at it shares no band with a probability of (1 - 0.85**5)**25 = 4e-7,
+less above it; at 0.80, 32 bands of 4 rows, 5e-8.
 """
 
 from __future__ import annotations
@@ -19,17 +20,28 @@ from pyspark.sql import functions as F
 
 from millrace.llm.cells import blocked, run_cells
 from millrace.llm.common import connected_components, global_rank, packed, stage, unpacked, unstage
-from millrace.llm.shingles import band_keys, class_key, shingle_set, sketch
+from millrace.llm.shingles import COORDS, band_keys, class_key, shingle_set, sketch
 
-BANDS, ROWS = 25, 5
 PERCENT = 85
+#: A pair at the threshold shares no band with this probability at most, where the sketch has coordinates enough.
+MISS = 1e-6
 BLOCK = 256
 #: Columns of an incidence matrix held at once.
 COLUMNS = 8192
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the most rows that keep to ``MISS`` at the threshold, one if none do."""
+    for rows in range(COORDS, 1, -1):
+        bands = COORDS // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    return COORDS, 1
+
+
+def _sketched(docs: DataFrame, percent: int) -> DataFrame:
     """rid, doc_id, n_shingles, cls (null without words), bands."""
+    n_bands, n_rows = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -46,7 +58,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                         rows.append(k)
                 bands: list = [None] * len(part)
                 if found:
-                    for k, keys in zip(rows, band_keys(np.stack(found), BANDS, ROWS)):
+                    for k, keys in zip(rows, band_keys(np.stack(found), n_bands, n_rows)):
                         bands[k] = keys
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -140,7 +152,7 @@ def _with_sets(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     """rid, doc_id, n_shingles, comp (null without words) of each row."""
-    seen = stage(_sketched(docs), "sketches")
+    seen = stage(_sketched(docs, percent), "sketches")
     classes = stage(seen.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("node")), "classes")
     nodes = seen.select("rid", "bands").join(classes.select(F.col("node").alias("rid")), "rid")
     keys = stage(nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node")), "bands")

@@ -78,6 +78,20 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+def test_bands_follow_from_the_threshold(spark):
+    assert neardup.banding(85) == (25, 5) and neardup.banding(80) == (32, 4)
+    for percent in range(12, 101):
+        bands, rows = neardup.banding(percent)
+        assert bands * rows <= COORDS and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):  # pairs at 51 of 101 shingles, of which 25 bands of 5 rows miss four in ten
+        w = ["w%d" % rng.randrange(10**6) for _ in range(80)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:55] + ["z%d" % rng.randrange(10**6) for _ in range(25)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    assert sorted((tuple(r) for r in neardup.near_duplicates(docs, 50).collect()), key=str) == brute(rows, 50)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (3, 40, 500, 5000):
