@@ -202,8 +202,10 @@ def interest_accrual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tapes(spark: SparkSession, d: str) -> DataFrame:
+    """Tapes of all sessions: the ledgers have no SQL whose chain they would have to match."""
     vetoes = gates.gated(traded(spark, d), driver_gates(spark))
-    return tape.session_tape(S.chain(spark, d), S.prices(spark, d), S.rates(spark, d), S.dividends(spark, d), picks(spark, d), vetoes)
+    chain = S.chain(spark, d, None)
+    return tape.session_tape(chain, S.prices(spark, d), S.rates(spark, d), S.dividends(spark, d), selection.pick_by_delta(chain, F.lit(RATE)), vetoes)
 
 
 def ledgers(spark: SparkSession, d: str) -> DataFrame:

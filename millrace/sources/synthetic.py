@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.pricing import bs_price
 from millrace.functions.windows import computed
 
+#: What the oracle SQL of the chain keeps of every symbol; queries without SQL take all sessions.
 CHAIN_SESSIONS = 120
 RATE, CARRY = 0.03, 0.013
 
@@ -75,10 +76,12 @@ def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", F.date_add("q", 14).alias("ex_date"), ((index % 5) * 0.01 + 0.25).alias("amount"))
 
 
-def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Option quotes of every symbol's first sessions, around its close."""
+def chain(spark: SparkSession, sf_dir: str, sessions: int | None = CHAIN_SESSIONS) -> DataFrame:
+    """Option quotes of every symbol's first sessions, or of all with None, around its close."""
     w = Window.partitionBy("symbol").orderBy("date")
-    days = prices(spark, sf_dir).withColumn("dn", F.row_number().over(w)).where(F.col("dn") <= CHAIN_SESSIONS)
+    days = prices(spark, sf_dir).withColumn("dn", F.row_number().over(w))
+    if sessions is not None:
+        days = days.where(F.col("dn") <= sessions)
     grid = spark.range(6 * 9 * 2).select(
         F.element_at(F.array(*map(F.lit, (9, 16, 23, 33, 37, 51))), (F.col("id") % 6 + 1).cast("int")).alias("dte"),
         (F.floor(F.col("id") / 6) % 9).cast("int").alias("ki"),
