@@ -145,8 +145,8 @@ def candidates(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     worth = F.filter(F.flatten(F.array(*found)), lambda c: c["strict"] | (c["kind"] != "card") | (c["size"] >= 3))
     rows = rows.select("doc_id", worth.alias("every"), *["text"] * keep_text)
     rows = rows.withColumn("sure", F.filter("every", lambda c: c["strict"]))
-    # What overlaps a strict span is part of it or noise around it.
-    clear = lambda c: ~F.exists("sure", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    # What lies inside a strict span is part of it; what reaches beyond one is voted on.
+    clear = lambda c: ~F.exists("sure", lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
     return rows.select("doc_id", F.filter("every", lambda c: c["strict"] | clear(c)).alias("found"), *["text"] * keep_text)
 
 

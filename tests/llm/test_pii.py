@@ -75,5 +75,23 @@ def test_labelers_learn_and_add(spark):
             assert clean[i] == t
 
 
+def test_candidates_beyond_strict_spans_are_kept(spark):
+    rng = random.Random(4)
+    card, phone = "4111111111111111", "+12125550147"
+    rows = [(i, f'x token = "{rng.getrandbits(160):040x}" y') for i in range(300)]
+    rows += [(300 + i, f"pay {card} or call {phone} now") for i in range(100)]
+    inner = {1000: "a5d19b" + card + "c7d8e9fa0b1c2d3e4f", 1001: "Ab3dEfGh1jKlMnOpQ" + phone + "x9YzAb3dEfGhJkLm"}
+    rows += [(k, f'x token = "{v}" y') for k, v in inner.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.personal_data(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for k, v in inner.items():
+        at = 11 + v.index(card if k == 1000 else phone)
+        kind = "card" if k == 1000 else "phone"
+        assert got[k] == [f"secret:2:{12 + len(v)}", f"{kind}:{at}:{at + len(card if k == 1000 else phone)}"], got[k]
+        assert clean[k] == 'x <secret> y'
+    assert all(got[i] == ["card:4:20", "phone:29:41"] for i in range(300, 400))
+
+
 def test_empty(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
