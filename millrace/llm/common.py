@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +27,54 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this process only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    A folder of this process serves local mode only, where driver and executors are one
+    process; on a cluster without a shared folder this is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    for held in _scopes:
+        held.append(path)
+    return path
+
+
+#: Paths made inside each open ``scratch`` block.
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete all that was staged inside the block when it ends.
+
+    For callers that write a result inside the block: frames that read staged tables
+    cannot be used after it.
+    """
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for path in held:
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -47,14 +91,40 @@ def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_millrace_path", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            conf = df.sparkSession._jsc.hadoopConfiguration()
-            where.getFileSystem(conf).delete(where, True)
+            _delete(df.sparkSession, path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of files read that one task of an exchange should stand for.
+TASK_BYTES = 256 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """Tasks of an exchange of ``df``: the session's number, or more where the files it reads call for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [found.apply(k) for k in range(found.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in leaves if x.getClass().getSimpleName() == "LogicalRelation")
+    return max(least, size // TASK_BYTES)
+
+
+#: A key with more than this share of all rows, one in HOT_KEYS, is hot. There are fewer than HOT_KEYS such keys.
+HOT_KEYS = 512
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """Join ``right``, of one row per key, to the rows of ``left`` that share the key.
+
+    ``right`` is a staged table with the number ``n`` of left rows of each key. Rows of
+    hot keys stay where they are and get their fewer than ``HOT_KEYS`` partners, fixed-size
+    rows, by broadcast; all others meet by an exchange in which no key holds more than
+    one in ``HOT_KEYS`` of the rows. ``n`` is dropped. Null keys find nothing.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT_KEYS > total
+    hot, cold = right.where(is_hot).drop(n), right.where(~is_hot).drop(n)
+    near = left.join(F.broadcast(hot), keys)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return near.unionByName(far)
 
 
 _LOW = (1 << 33) - 1
@@ -70,7 +140,7 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame
     """
     spark = df.sparkSession
     ranged = stage(
-        df.repartitionByRange(partitions(spark), *keys)
+        df.repartitionByRange(partitions(df), *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id()),
         "ranked",
@@ -95,11 +165,11 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of undirected ``edges(a, b)`` as rows (node, component).
 
-    Alternating large-star and small-star steps. A step groups with map-side
-    minima and joins them back; the join's hot side is dealt out by the engine's
-    skew handling, since only one row per node stands on the other side. Each
-    round is staged; only a row count and a checksum reach the driver. Nodes
-    without edges do not appear. ``component`` is the smallest node reachable.
+    Alternating large-star and small-star steps. A step takes each node's least
+    neighbour with map-side minima and joins it back by ``beside``, so a node with a
+    large share of all edges is split among tasks. Each round is staged; only a row
+    count and a checksum reach the driver. Nodes without edges do not appear.
+    ``component`` is the smallest node reachable.
     """
     cur = stage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
@@ -109,23 +179,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(r)
 
+    def least(e: DataFrame) -> DataFrame:
+        return stage(e.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), "least")
+
     seen = mark(cur)
     while seen[0]:
         both = cur.union(cur.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        around = least(both)
+        large = stage(beside(both.where("b > a"), around, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: every node has only smaller neighbours left; hang them under the smallest.
-        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(small_min, "a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
-            .union(small_min.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        nxt = stage(small, "edges")
+        below = least(large)
+        small = beside(large, below, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        nxt = stage(small.union(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = mark(nxt)
-        unstage(cur)
+        unstage(cur, around, large, below)
         cur = nxt
         if now == seen:
             break

@@ -7,7 +7,8 @@ interval of the suffix array whose common prefix has at least that many lines, s
 ranks tell where runs repeat. Suffixes alone in their interval are dropped at once.
 
 A line is deleted if it lies in a run of whole lines, of ``MIN_WORDS`` words or more,
-that also stands earlier, in the order of ids and lines. All such maximal runs are
+that also stands earlier, in the order of ids and lines. Five words, a shingle's
+length, keep apart copies from lines of a word or two that prose repeats by chance. All such maximal runs are
 unions of shortest runs of enough words that start or end at some line, and the
 rank of any run follows from the ranks of the two runs of 2k lines that cover it.
 
@@ -18,12 +19,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import global_rank, packed, stage, unpacked, unstage
+from millrace.llm.common import beside, global_rank, packed, stage, unpacked, unstage
 
-MIN_WORDS = 50
+MIN_WORDS = 5
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -60,9 +61,9 @@ def _doubled(level: DataFrame, width: int) -> DataFrame:
     """Ranks of runs of twice ``width`` lines, where such a run repeats."""
     right = level.select("rid", (F.col("i") - width).alias("i"), F.col("r").alias("r2"))
     pairs = stage(level.join(right, ["rid", "i"]), "pairs")
-    repeated = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r", "r2")
+    repeated = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
     ranked = global_rank(repeated, ["r", "r2"], "rank")
-    out = stage(pairs.join(ranked, ["r", "r2"]).select("rid", "i", F.col("rank").alias("r")), "ranks")
+    out = stage(beside(pairs, ranked, ["r", "r2"]).select("rid", "i", F.col("rank").alias("r")), "ranks")
     unstage(pairs, ranked)
     return out
 
@@ -70,10 +71,10 @@ def _doubled(level: DataFrame, width: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(rid, start, stop) of the disjoint stretches of lines to delete; rid numbers the rows of ``docs``."""
     lines = stage(_lines(docs), "lines")
-    counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     ranked = global_rank(counts, ["h1", "h2"], "r")
-    first = stage(lines.join(ranked, ["h1", "h2"]).select("rid", "doc_id", "i", "w", "r"), "ranks")
-    unstage(lines)
+    first = stage(beside(lines, ranked, ["h1", "h2"]).select("rid", "doc_id", "i", "w", "r"), "ranks")
+    unstage(lines, ranked)
     runs = stage(_windows(first, min_words), "runs")
     longest = runs.agg(F.max("l")).first()[0]
     ids = first.select("rid", "doc_id").distinct()
@@ -84,9 +85,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         right = level.select("rid", F.col("i").alias("t"), F.col("r").alias("b"))
         named = some.withColumn("t", F.col("s") + F.col("l") - width).join(left, ["rid", "s"]).join(right, ["rid", "t"]).join(ids, "rid")
         named = stage(named.select("rid", "s", "l", "a", "b", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid", "s").alias("at")), "named")
-        # Staged, so that the join reads both sides as they are and can split a hot run's rows.
-        firsts = stage(named.groupBy("l", "a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-        again = named.join(firsts, ["l", "a", "b"]).where(F.col("at") != F.col("first"))
+        firsts = stage(named.groupBy("l", "a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+        again = beside(named, firsts, ["l", "a", "b"]).where(F.col("at") != F.col("first"))
         later.append(stage(again.select("rid", "s", (F.col("s") + F.col("l")).alias("e")), "later"))
         unstage(named, firsts)
         if 2 * width > longest:
@@ -128,9 +128,20 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the deleted lines gone from ``text``, all columns kept."""
+    """``docs`` with the deleted lines gone from ``text``, all columns kept.
+
+    Null and empty texts stay as they are; a text whose lines all go becomes empty. Rows
+    are as in ``line_report``; an empty table stays empty.
+    """
     rows = packed(docs).withColumn("rid", F.monotonically_increasing_id()).join(_stretches(docs, min_words), "rid", "left")
-    gone = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["stop"]))
-    left = F.array_join(F.filter(F.split(F.col("row.text"), "\n", -1), lambda _, i: ~gone(i)), "\n")
-    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(left)
+
+    def kept(lines: Column) -> Column:
+        """What lies between the stretches, slice by slice."""
+        stops = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["stop"]))
+        starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.size(lines).cast("long")))
+        gaps = F.arrays_zip(stops.alias("a"), starts.alias("b"))
+        return F.flatten(F.transform(gaps, lambda g: F.slice(lines, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int"))))
+
+    split = F.array(F.split(F.col("row.text"), "\n", -1))  # bound once, not once per stretch
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(split, kept)[0], "\n"))
     return unpacked(rows.select(F.col("row").withField("text", text).alias("row")), docs)

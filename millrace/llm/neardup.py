@@ -2,10 +2,13 @@
 
 Documents with equal shingle sets form a class. Each class's sketch is cut into
 bands, and classes that share a band are candidates; candidates that hang together
-form a candidate group. Inside a group every two sets are compared in full, in
-cells of at most two blocks, and a cell returns links that span what it found, not
-its pairs. Bands and their rows follow from the threshold: at 0.85, 25 bands of 5
-rows, and a pair at it shares no band with a probability of (1 - 0.85**5)**25 = 4e-7,
+form a candidate group. A group is compared in full, or bucket by bucket where its
+buckets, each set of members once, hold fewer pairs: then pairs that only hang
+together over others are not compared. Either way members stand in the order of
+their sets' sizes and meet in cells of at most two blocks, and blocks whose sizes
+rule out the similarity do not meet. A cell returns links that span what it found,
+not its pairs. Bands and their rows follow from the threshold: at 0.85, 25 bands of
+5 rows, and a pair at it shares no band with a probability of (1 - 0.85**5)**25 = 4e-7,
 less above it; at 0.80, 32 bands of 4 rows, 5e-8.
 """
 
@@ -18,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.cells import blocked, run_cells
-from millrace.llm.common import connected_components, global_rank, packed, stage, unpacked, unstage
+from millrace.llm.cells import run_cells, size_blocks
+from millrace.llm.common import beside, connected_components, global_rank, packed, stage, unpacked, unstage
 from millrace.llm.shingles import COORDS, band_keys, class_key, shingle_set, sketch
 
 PERCENT = 85
@@ -125,7 +128,7 @@ def cell_links(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], pe
 
 
 def _verified(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from members (grp, low, high, block, node, items)."""
+    """Links (a, b) from members (way, unit, low, high, block, node, items)."""
 
     def links(rows: list[dict]) -> list[tuple]:
         if len(rows) < 2:
@@ -133,7 +136,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(r["items"], np.uint64) for r in rows]
         return cell_links(np.array([r["node"] for r in rows]), np.array([r["block"] for r in rows]), sets, percent)
 
-    return run_cells(members, ["grp", "low", "high"], links, "a long, b long")
+    return run_cells(members, ["way", "unit", "low", "high"], links, "a long, b long")
 
 
 def _with_sets(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -150,31 +153,51 @@ def _with_sets(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.col("text").cast("binary")).mapInArrow(run, kinds + ", items binary")
 
 
+def _units(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """(way, unit, node, size): what to compare, candidate groups (way 0) or buckets of one (way 1)."""
+    same = [F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2")]
+    buckets = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center"), *same).where("n > 1"), "buckets")
+    shared = stage(beside(keys, buckets.select("key", "n", "center"), ["key"]), "shared")
+    edges = shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    groups = stage(connected_components(edges).select("node", F.col("component").alias("grp")), "groups")
+    # Bands that agree on a bucket's members make one bucket of them.
+    kinds = buckets.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.min("center").alias("node"))
+    kinds = stage(kinds.join(groups, "node").select("grp", "key", "n"), "kinds")
+    pairs = kinds.groupBy("grp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).join(pairs, "grp")
+    sizes = stage(sizes.select("grp", "n", (F.col("pairs") < F.col("n").cast("double") * F.col("n")).alias("apart")), "sizes")
+    whole = beside(groups, sizes.where("not apart").select("grp", "n"), ["grp"]).join(classes.select("node", "size"), "node")
+    cut = stage(kinds.join(sizes.where("apart").select("grp"), "grp").select("key", "n"), "cut")
+    parts = beside(shared, cut, ["key"])
+    columns = lambda way, unit: [F.lit(way).alias("way"), F.col(unit).alias("unit"), "node", "size"]
+    return whole.select(*columns(0, "grp")).union(parts.select(*columns(1, "key")))
+
+
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     """rid, doc_id, n_shingles, comp (null without words) of each row."""
     seen = stage(_sketched(docs, percent), "sketches")
-    classes = stage(seen.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("node")), "classes")
-    nodes = seen.select("rid", "bands").join(classes.select(F.col("node").alias("rid")), "rid")
-    keys = stage(nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node")), "bands")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
-    edges = keys.join(buckets, "key").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    groups = stage(connected_components(edges).select("node", F.col("component").alias("grp")), "groups")
-    unstage(keys)
-    placed = global_rank(groups, ["grp", "node"], "pos")
-    spans = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    firsts = placed.groupBy("grp").agg(F.min("pos").alias("first"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    where = (
-        placed.join(firsts.join(spans, "grp"), "grp")
-        .select("grp", "node", F.floor((F.col("pos") - F.col("first")) / BLOCK).cast("int").alias("block"), blocks.alias("blocks"))
-    )
+    firsts = seen.where("cls is not null").groupBy("cls")
+    classes = stage(firsts.agg(F.min("rid").alias("node"), F.count("*").alias("n"), F.max("n_shingles").alias("size")), "classes")
+    nodes = seen.select("rid", "bands").join(classes.select(F.col("node").alias("rid"), "size"), "rid")
+    keys = stage(nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node"), "size"), "bands")
+    unit = ["way", "unit"]
+    ranked = global_rank(_units(keys, classes), [*unit, "size", "node"], "pos")
+    spans = stage(ranked.groupBy(*unit).agg(F.min("pos").alias("first"), F.count("*").alias("n")), "spans")
+    block = F.floor((F.col("pos") - F.col("first")) / BLOCK).cast("int").alias("block")
+    placed = stage(beside(ranked, spans, unit).select(*unit, "node", "size", block), "placed")
+    unstage(keys, ranked)
+    reach = size_blocks(placed, unit, percent)
+    # A node is in one group, or in as many buckets as there are bands at most.
+    places = placed.join(reach, [*unit, "block"]).groupBy("node").agg(F.collect_list(F.struct(*unit, "block", "since", "upto")).alias("places"))
     texts = docs.select(F.monotonically_increasing_id().alias("node"), "text")
-    sets = _with_sets(texts.join(where, "node"), ["grp", "node", "block", "blocks"])
-    cells = blocked(sets).select("grp", "low", "high", "block", "node", "items")
+    sets = _with_sets(texts.join(places, "node"), ["node", "places"]).select("node", "items", F.explode("places").alias("p"))
+    other = F.explode(F.sequence("p.since", "p.upto")).alias("o")
+    cells = sets.select("node", "items", "p.way", "p.unit", "p.block", other)
+    cells = cells.select(*unit, F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"), "block", "node", "items")
     links = stage(_verified(cells, percent), "links")
     linked = stage(connected_components(links), "components")
-    comps = classes.join(linked, "node", "left").select("cls", F.coalesce("component", "node").alias("comp"))
-    return seen.select("rid", "doc_id", "n_shingles", "cls").join(comps, "cls", "left").drop("cls")
+    comps = stage(classes.join(linked, "node", "left").select("cls", F.coalesce("component", "node").alias("comp"), "n"), "comps")
+    return beside(seen.select("rid", "doc_id", "n_shingles", "cls"), comps, ["cls"], "left").drop("cls")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -188,14 +211,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     has no other. An empty table gives no rows. Only doc_id and text are read, and
     ``docs`` must be deterministic on re-reading: row numbers stand for rows.
 
-    A hot bucket or component only meets its counterpart of one row per key. A
-    candidate group of any size is compared in cells of at most two blocks; for a
-    group of g different sets the work, not the memory, grows with the square of g.
+    The rows of a hot bucket, group, class or component are split (``beside``). A
+    group or bucket of any size is compared in cells of at most two blocks; for g
+    different sets of about one size in it the work, not the memory, grows with the
+    square of g.
     """
     rows = stage(_labelled(docs, percent), "labelled")
-    # Staged, so that the join reads both sides as they are and can split a hot component's rows.
-    least = stage(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
-    return rows.join(least, "comp", "left").select(
+    least = stage(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    return beside(rows, least, ["comp"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
@@ -206,7 +229,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the smallest id of each component only, all columns kept.
 
-    Of repeated rows with that id one stays; rows without words all stay.
+    Of repeated rows with that id one stays; rows without words, null and empty texts
+    included, all stay. Null ids stay only where a component has no other. An empty
+    table stays empty. Columns of any names ride along as they are.
     """
     rows = stage(_labelled(docs, percent), "labelled")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid")
