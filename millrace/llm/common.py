@@ -214,5 +214,21 @@ def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col("row").getField(f.name).alias(f.name) for f in like.schema.fields])
 
 
+#: Row numbers that are sent to every task instead of all rows being dealt out: 8 MB.
+FEW = 1 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows numbered in ``gone(rid)``, all columns kept.
+
+    ``gone`` is staged and counted; up to ``FEW`` numbers are broadcast, more are joined.
+    """
+    gone = stage(gone, "gone")
+    rows = packed(docs).withColumn("rid", F.monotonically_increasing_id())
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    return unpacked(rows.join(gone, "rid", "left_anti"), docs)
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)

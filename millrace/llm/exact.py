@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE_RUN, packed, stage, unpacked, unstage
+from millrace.llm.common import SPACE_RUN, stage, unstage, without
 
 FIRST_DIGIT = 32
 GROWTH = 8
@@ -82,8 +82,9 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the first of each group of equal texts only, all columns kept.
 
-    Of repeated rows that share id and text, one stays.
+    Null and empty texts are one group. Of repeated rows that share id and text, one
+    stays. Null ids go unless all of a group are null. An empty table stays empty.
     """
-    first = _radix(docs, "text", "doc_id").where("doc_id <=> keep_id").groupBy("gid").agg(F.min("rid").alias("rid"))
-    rows = packed(docs).withColumn("rid", F.monotonically_increasing_id())
-    return unpacked(rows.join(first.select("rid"), "rid", "left_semi"), docs)
+    copies = _radix(docs, "text", "doc_id").where("group_size > 1")
+    first = copies.where("doc_id <=> keep_id").groupBy("gid").agg(F.min("rid").alias("rid"))
+    return without(docs, copies.select("rid").join(first.select("rid"), "rid", "left_anti"))

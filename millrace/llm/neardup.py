@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.cells import run_cells, size_blocks
-from millrace.llm.common import beside, connected_components, global_rank, packed, stage, unpacked, unstage
+from millrace.llm.common import beside, connected_components, global_rank, stage, unstage, without
 from millrace.llm.shingles import COORDS, band_keys, class_key, shingle_set, sketch
 
 PERCENT = 85
@@ -234,6 +234,6 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     table stays empty. Columns of any names ride along as they are.
     """
     rows = stage(_labelled(docs, percent), "labelled")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid")
-    stay = rows.where("comp is not null").groupBy("comp").agg(first).select("rid").union(rows.where("comp is null").select("rid"))
-    return unpacked(packed(docs).withColumn("rid", F.monotonically_increasing_id()).join(stay, "rid", "left_semi"), docs)
+    rows = rows.where("comp is not null")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid"))
+    return without(docs, rows.select("rid").join(first.select("rid"), "rid", "left_anti"))

@@ -5,6 +5,10 @@ log-odds of the categories before it. While training, those are out-of-fold
 predictions, so later models learn from what earlier ones say about documents they
 haven't seen. Features are the presence of words and of their beginnings.
 
+The chain is: low quality, as labelled; the themes of toxic documents, which are
+learnt from the sample, in whatever languages it has, by grouping toxic documents
+whose telling features go together; toxic, as labelled. No vocabulary is built in.
+
 The models are fitted on at most ``SAMPLE`` labelled documents, those with the
 smallest hashes, and on at most ``FEATURES`` features, those whose presence differs
 most between toxic and other documents. Every document is scored on its whole text.
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import packed, stage, unpacked
+from millrace.llm.common import stage, without
 
 #: Labelled documents that the models are fitted on, at most.
 SAMPLE = 12_000
@@ -32,11 +36,12 @@ FOLDS = 5
 LEAST = 3
 CACHE_CHUNKS = 150_000
 
-# English terms whose presence in a document labelled toxic tells its category.
-INSULT = ("clown", "idiot", "loser", "moron", "stupid")
-CONTEMPT = ("disgusting", "pathetic", "scum", "trash", "worthless")
+#: Groups of toxic documents that the chain predicts on the way.
+THEMES = 2
+#: Telling features that the groups are made from, at most.
+THEME_FEATURES = 512
 
-CATEGORIES = ("insult", "contempt", "toxic")
+CATEGORIES = ("low_quality", *(f"theme_{k + 1}" for k in range(THEMES)), "toxic")
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -136,17 +141,65 @@ def fit_chain(rows: Rows, targets: np.ndarray, folds: np.ndarray, features: dict
                 out[held] = part.odds(rows.only(held), dense[held])
         models.append(train(rows, dense, targets[:, k]))
         dense = np.column_stack([dense, np.clip(out, -14, 14)])
-    threshold = 0.5
-    y = targets[:, -1]
-    if y.any():
-        order = np.argsort(-out, kind="stable")
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-        best = int(np.argmax(f1))
-        above = out[order[best]]
-        below = out[order[best + 1]] if best + 1 < len(order) else above - 1
-        threshold = float(sigmoid(np.array([(above + below) / 2]))[0])
-    return Chain(features, models, min(max(threshold, 0.2), 0.8))
+    return Chain(features, models, best_threshold(out, targets[:, -1]))
+
+
+def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
+    """Of the probabilities that give the best F1 the one nearest to a half."""
+    if not y.any():
+        return 0.5
+    order = np.argsort(-odds, kind="stable")
+    sorted_ = odds[order]
+    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + y.sum())
+    cut = np.append(sorted_[1:] < sorted_[:-1], True)  # equal odds fall on one side
+    best = np.flatnonzero(cut & (f1 >= f1[cut].max() - 1e-12))
+    high = sigmoid(sorted_[best])
+    low = np.append(sigmoid(sorted_), 0.0)[best + 1]
+    # Rejected from ``t`` on, with low < t <= high.
+    nearest = np.where((low < 0.5) & (high >= 0.5), 0.5, (low + high) / 2)
+    return float(nearest[np.argmin(np.abs(nearest - 0.5))])
+
+
+def themes(rows: Rows, y: np.ndarray, count: int = THEMES) -> np.ndarray:
+    """A 0/1 column per theme: which toxic rows belong to it.
+
+    Features that toxic rows have more often are weighted by their log-odds; rows are
+    grouped by the direction of what they have of them, from seeds as far apart as
+    they come. A toxic row without such features has no theme.
+    """
+    out = np.zeros((rows.n, count))
+    toxic = y > 0
+    inside = rows.only(toxic)
+    p = (np.bincount(inside.item, minlength=rows.width) + 0.5) / (inside.n + 1)
+    q = (np.bincount(rows.only(~toxic).item, minlength=rows.width) + 0.5) / (rows.n - inside.n + 1)
+    weight = np.log(p / q)
+    # Features come in the order of how much they tell.
+    telling = np.flatnonzero(weight > 1)[:THEME_FEATURES]
+    if not inside.n or not len(telling):
+        return out
+    column = np.full(rows.width, -1)
+    column[telling] = np.arange(len(telling))
+    held = column[inside.item] >= 0
+    x = np.zeros((inside.n, len(telling)), np.float32)
+    x[inside.owner[held], column[inside.item[held]]] = weight[inside.item[held]]
+    length = np.sqrt((x * x).sum(axis=1))
+    has = length > 0
+    if not has.any():
+        return out
+    x = x[has] / length[has, None]
+    center = [x[int(np.argmax(x @ x.mean(axis=0)))]]
+    while len(center) < count:
+        center.append(x[int(np.argmin(np.max([x @ c for c in center], axis=0)))])
+    group = np.zeros(len(x), int)
+    for step in range(20):
+        new = np.argmax(x @ np.stack(center).T, axis=1)
+        if step and (new == group).all():
+            break
+        group = new
+        sums = [x[group == k].sum(axis=0) if (group == k).any() else center[k] for k in range(count)]
+        center = [c / max(float(np.sqrt(c @ c)), 1e-12) for c in sums]
+    out[np.flatnonzero(toxic)[has], group] = 1
+    return out
 
 
 def _features(rows: DataFrame, keep: dict[str, int] | None) -> DataFrame:
@@ -177,9 +230,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     Only the sample's features reach the driver: ``features`` names with counts, and
     the numbers of those that each sampled document has.
     """
-    known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(stage(chosen, "sample")), "doc_id").dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", "toxic", "quality").where("doc_id is not null and toxic is not null")
+    low = F.coalesce(F.max(1 - F.col("quality")), F.lit(0)).cast("int").alias("low")
+    chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"), low).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Of texts that share an id the least one, so that reruns agree.
+    texts = docs.select("doc_id", "text").join(F.broadcast(stage(chosen, "sample")), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("y").alias("y"), F.first("low").alias("low")
+    )
     texts = stage(texts, "training")
     n, positive = texts.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     negative = n - positive
@@ -192,12 +249,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     top = counts.where(F.col("c") >= LEAST).orderBy(F.desc(F.round(spread, 9)), "f").limit(features).select("f").collect()
     names = {r.f: k for k, r in enumerate(top)}
     rows = _features(texts, names).orderBy("doc_id").collect()
-    terms = [[names[w] for w in group if w in names] for group in (INSULT, CONTEMPT)]
-    y = np.array([r.y for r in rows], float)
-    sets = [np.array(r.found, np.int64) for r in rows]
-    weak = [np.array([bool(t) and bool(np.isin(s, t).any()) for s in sets], float) * y for t in terms]
+    y, bad = (np.array([r[c] for r in rows], float) for c in ("y", "low"))
+    sets = Rows([np.array(r.found, np.int64) for r in rows], len(names))
     folds = np.array([(r.doc_id * 2654435761 >> 8) % FOLDS for r in rows])
-    return fit_chain(Rows(sets, len(names)), np.column_stack([*weak, y]), folds, names)
+    return fit_chain(sets, np.column_stack([bad, themes(sets, y), y]), folds, names)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -240,20 +295,22 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, p_insult, p_contempt, p_toxic, rejected.
+    """One row per row of ``docs``: doc_id, p_low_quality, p_theme_1, p_theme_2, p_toxic, rejected.
 
-    A null or empty text has no features and gets the base rates. Labels that are
-    null, or of documents that aren't there, are passed over; of several labels the
-    largest holds. Without labels of both kinds nothing is rejected. Repeated rows
+    A null or empty text has no features and gets the base rates. Labels without
+    ``toxic``, or of documents that aren't there, are passed over; of several labels the
+    largest holds, and the least quality; no quality is not a low one. Without labels of
+    both kinds nothing is rejected. Repeated rows
     are scored each; an empty table gives no rows. Only doc_id and text are read.
     """
     return score(docs, learn(docs, labels, sample)).drop("rid")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, all columns kept."""
-    chain = learn(docs, labels, sample)
-    rejected = score(docs, chain).where("rejected").select("rid")
-    rows = packed(docs).withColumn("rid", F.monotonically_increasing_id())
-    return unpacked(rows.join(rejected, "rid", "left_anti"), docs)
+    """The rows of ``docs`` that aren't rejected, all columns kept.
+
+    Null and empty texts stay unless the base rate alone rejects; repeated rows go or stay
+    together; an empty table stays empty. Columns of any names ride along as they are.
+    """
+    return without(docs, score(docs, learn(docs, labels, sample)).where("rejected").select("rid"))
 
