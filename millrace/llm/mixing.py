@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import global_rank, packed, stage, unpacked
+from millrace.llm.common import beside, global_rank, packed, partitions, stage, unpacked
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SEED = 17
+#: Words of the longest document that the exact part places.
+LONG = 1 << 17
 
 
 def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -54,24 +56,31 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many to take of each size so that their words come to ``budget`` or just below.
 
     An even share of every class comes first, short of the budget by a few of the
-    longest; the exact part chooses from what every class then still has.
+    longest; the exact part chooses from what every class then still has. Its arrays
+    have 6 * ``LONG`` places at most: longer documents are taken by their share and, as
+    long as they fit, one by one, and shorter ones make up what that leaves. Only where
+    these don't suffice does a gap stay, smaller than the shortest longer document still left.
     """
     total = int((sizes * counts).sum())
     take = counts * 0
     if budget <= 0 or total == 0:
         return take
     use = sizes > 0
-    longest = int(sizes.max())
+    longest = min(int(sizes.max()), LONG)
     shy = max(0, budget - 4 * longest)
     take[use] = [int(c) * shy // total for c in counts[use]]
     rest = budget - int((sizes * take).sum())
-    for k in np.argsort(-sizes):  # rounding down loses up to one of each size
-        if use[k] and rest > 6 * longest:
-            more = min(int(counts[k] - take[k] + 1) // 2, (rest - 4 * longest) // int(sizes[k]))
-            take[k] += more
-            rest -= more * int(sizes[k])
-    free = use & (counts > take) & (sizes <= rest)
-    take[free] += subset_sum(sizes[free], (counts - take)[free], rest)
+    for all_ in (False, True):
+        for k in np.argsort(-sizes):  # rounding down loses up to one of each size
+            if use[k] and rest > 6 * longest:
+                many = int(counts[k] - take[k])
+                room = rest if sizes[k] > LONG else rest - 4 * longest
+                many = many if all_ or sizes[k] > LONG else (many + 1) // 2
+                more = min(many, room // int(sizes[k]))
+                take[k] += more
+                rest -= more * int(sizes[k])
+    free = use & (counts > take) & (sizes <= min(rest, longest))
+    take[free] += subset_sum(sizes[free], (counts - take)[free], min(rest, 6 * longest))
     return take
 
 
@@ -105,7 +114,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     gives no rows. Only doc_id, source and text are read.
 
     A hot source or length class is ranked by a range exchange on (source, size,
-    hash, id), which splits it; the knapsack sees one row per source and length.
+    hash, id), which splits it, and its rows are split again where the choice is joined
+    back (``beside``); the knapsack sees one row per source and length.
     """
     text = F.col("text")
     # A null source's key sorts after every other.
@@ -134,15 +144,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
         units = fit(part["size"].to_numpy(), counts * (most - base), round(target - base * total))
         part["each"] = base + units // counts
         part["more"] = units % counts
-        return part[["key", "size", "first", "source_size", "target", "each", "more"]]
+        return part[["key", "size", "n", "first", "source_size", "target", "each", "more"]]
 
-    chosen = (
-        classes.join(goal, "key")
-        .groupBy("key")
-        .applyInPandas(choose, "key string, size long, first long, source_size long, target double, each long, more long")
-    )
+    # A number of tasks of its own, so that sources, small in bytes, do not share one.
+    aimed = classes.join(goal, "key").repartition(partitions(sized), "key")
+    kinds = "key string, size long, n long, first long, source_size long, target double, each long, more long"
+    chosen = stage(aimed.groupBy("key").applyInPandas(choose, kinds), "chosen")
     copies = F.col("each") + (F.col("position") - F.col("first") < F.col("more")).cast("long")
-    return ranked.join(chosen, ["key", "size"]).select(
+    return beside(ranked, chosen, ["key", "size"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rid"
     )
 
@@ -150,7 +159,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix holds them: each row as often as chosen, all columns kept.
 
-    ``docs`` must be deterministic on re-reading: row numbers tell rows apart.
+    ``docs`` must be deterministic on re-reading: row numbers tell rows apart. Null texts
+    and sources are as in ``mix``; repeated rows count each; an empty table stays empty.
     """
     times = mix(docs).where("copies > 0").select("rid", "copies")
     rows = packed(docs).withColumn("rid", F.monotonically_increasing_id())

@@ -89,3 +89,18 @@ def test_mix(spark, seed):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).collect() == [] and mixing.mixed(docs).collect() == []
+
+
+def test_a_document_of_ten_million_words():
+    import tracemalloc
+
+    sizes = np.array([3, 50, 400, 10_000_000, 90_000_000])
+    counts = np.array([400, 900, 3000, 2, 1])
+    tracemalloc.start()
+    for budget in (500, 700_000, 10_500_007, 60_000_000, 111_000_000):
+        take = mixing.fit(sizes, counts, budget)
+        left = budget - int((sizes * take).sum())
+        untaken = sizes[(sizes > mixing.LONG) & (take < counts)]
+        assert (take <= counts).all() and 0 <= left < (3 if budget < 20_000_000 else untaken.min())
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()

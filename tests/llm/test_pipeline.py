@@ -54,7 +54,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in sorted(out["toxicity"], key=lambda r: r.doc_id):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id)
     assert sorted(r.doc_id for r in out["exact_dedup"]) == sorted(first.values())
-    kept = [d for d, _, _, k in near_brute([(r.doc_id, r.text) for r in out["exact_dedup"]]) if k]
+    kept = [d for d, _, _, k in near_brute([(r.doc_id, r.text) for r in out["exact_dedup"]], P.NEAR) if k]
     assert sorted(r.doc_id for r in out["near_dedup"]) == sorted(kept)
     size, taken = defaultdict(int), defaultdict(int)
     for r in out["near_dedup"]:
