@@ -8,14 +8,18 @@ from the counts how often each labeler votes for true and for false candidates.
 posteriors then train the span classifier, a naive Bayes model over the votes and the
 span's kind and length, whose log-odds decide on every candidate. Spans that the
 strict rules accept are reported in any case.
+
+A text's matches become rows, and running sums over them give their places, so the
+work grows in proportion to the matches of a text, however many there are.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stage
@@ -24,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Log-odds from which the classifier adds a span.
 DECIDE = 2.2
 ROUNDS = 12
+#: Code points of the blocks that redaction cuts texts into, so that a span costs no pass over the text.
+REDACT_BLOCK = 1024
 
 # The strict patterns. Possessive repeats and the guard in front leave
 # the matches as they are and keep matching linear and free of recursion.
@@ -67,9 +73,6 @@ GAZETTEER = {
     "secret": r"[0-9]",
 }
 
-_SPAN = "struct<kind:string,start:int,end:int,strict:boolean,v1:int,v2:int,v3:int,v4:int,size:int>"
-
-
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -100,54 +103,55 @@ def accepted(kind: str, span: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
-def _matches(text: Column, pattern: str, hint: Column) -> Column:
-    """Array of (m, start, end, left, right) of all matches, in code points."""
+def _matches(text: Column, source: int, pattern: str, hint: Column) -> Column:
+    """Array of (source, m, gap, left, right): each match with the code points between it and the one before."""
     none = F.array().cast("array<string>")
     hits = F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
     gaps = F.when(hint, F.split(text, pattern, -1)).otherwise(none)
     parts = F.arrays_zip(hits.alias("m"), gaps.alias("gap"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("next"))
+    found = F.filter(parts, lambda x: x["m"].isNotNull())
+    return F.transform(found, lambda x: F.struct(
+        F.lit(source).alias("source"), x["m"].alias("m"), F.length(x["gap"]).alias("gap"), F.right(x["gap"], F.lit(32)).alias("left"), F.left(x["next"], F.lit(1)).alias("right")
+    ))
 
-    def place(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"), F.right(x["gap"], F.lit(32)).alias("left"), F.left(x["next"], F.lit(1)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
 
-    empty = F.array().cast("array<struct<m:string,start:int,end:int,left:string,right:string>>")
-    found = F.filter(parts, lambda x: x["m"].isNotNull())
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), place, lambda x: x["out"])
-
-
-def _voted(kind: str, strict: bool, spans: Column) -> Column:
-    """Turn matches into candidates with the labelers' votes: 1, -1, or 0 for none."""
-
-    def vote(x: Column) -> Column:
-        m = x["m"]
-        ok = accepted(kind, m) if strict else F.lit(False)
-        rule = F.when(ok, 1).otherwise(-1) if strict else F.lit(0)
-        known = F.when(F.rlike(m, F.lit(GAZETTEER[kind])), 1).otherwise(-1)
-        cue = F.when(F.rlike(x["left"], F.lit(CUES[kind])), 1).when(F.rlike(x["left"], F.lit(AGAINST)), -1).otherwise(0)
-        joined = F.rlike(F.concat(F.right(x["left"], F.lit(1)), F.lit(" "), x["right"]), F.lit(r"[\p{L}\p{N}_@]"))
-        edge = F.when(joined, -1).otherwise(1)
-        size = F.least(F.floor(F.length(m) / 4), F.lit(12))
-        fields = {"kind": F.lit(kind), "start": x["start"], "end": x["end"], "strict": ok, "v1": rule, "v2": known, "v3": cue, "v4": edge, "size": size}
-        return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(_SPAN)
-
-    return F.transform(spans, vote)
-
-
-def candidates(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id and the array of candidates of each row, from its whole text."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sources = [(k, True, p) for k, p in STRICT.items()] + [(k, False, p) for k, p in LOOSE.items()]
-    found = [_voted(k, s, _matches(F.col("text"), p, HINT[k, int(not s)](F.col("text")))) for k, s, p in sources]
-    # Short runs of digits are cards no labeler could take for one.
-    worth = F.filter(F.flatten(F.array(*found)), lambda c: c["strict"] | (c["kind"] != "card") | (c["size"] >= 3))
-    rows = rows.select("doc_id", worth.alias("every"), *["text"] * keep_text)
-    rows = rows.withColumn("sure", F.filter("every", lambda c: c["strict"]))
+SOURCES = [(k, True, p) for k, p in STRICT.items()] + [(k, False, p) for k, p in LOOSE.items()]
+
+
+def _by_source(f: Callable[[str, bool], Column]) -> Column:
+    """``f`` of the kind and strictness of the row's source."""
+    return reduce(lambda out, i: out.when(F.col("source") == i, f(*SOURCES[i][:2])), range(1, len(SOURCES)), F.when(F.col("source") == 0, f(*SOURCES[0][:2])))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """rid, kind, start, end, strict, v1 to v4, size: every candidate with the labelers' votes, 1, -1, or 0 for none.
+
+    Texts are read whole; rid numbers the rows of ``docs``, and rows without candidates do not appear.
+    """
+    text = F.col("text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    found = [_matches(text, i, p, HINT[k, int(not s)](text)) for i, (k, s, p) in enumerate(SOURCES)]
+    rows = rows.select("rid", F.posexplode(F.flatten(F.array(*found))).alias("at", "x")).select("rid", "at", "x.*")
+    # One exchange of the matches by row number serves both windows.
+    so_far = Window.partitionBy("rid", "source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.repartition("rid").withColumn("end", F.sum(F.col("gap") + F.length("m")).over(so_far).cast("int"))
+    rows = rows.withColumn("start", F.col("end") - F.length("m"))
+    m, left = F.col("m"), F.col("left")
+    rows = rows.withColumn("kind", _by_source(lambda k, _: F.lit(k))).withColumn("strict", _by_source(lambda k, s: accepted(k, m) if s else F.lit(False)))
+    rule = _by_source(lambda _, s: F.when(F.col("strict"), 1).otherwise(-1) if s else F.lit(0))
+    known = _by_source(lambda k, _: F.when(F.rlike(m, F.lit(GAZETTEER[k])), 1).otherwise(-1))
+    cue = _by_source(lambda k, _: F.when(F.rlike(left, F.lit(CUES[k])), 1).when(F.rlike(left, F.lit(AGAINST)), -1).otherwise(0))
+    joined = F.rlike(F.concat(F.right(left, F.lit(1)), F.lit(" "), F.col("right")), F.lit(r"[\p{L}\p{N}_@]"))
+    size = F.least(F.floor(F.length(m) / 4), F.lit(12)).cast("int")
+    rows = rows.select(
+        "rid", "kind", "start", "end", "strict", rule.alias("v1"), known.alias("v2"), cue.alias("v3"), F.when(joined, -1).otherwise(1).alias("v4"), size.alias("size")
+    )
+    # Runs of fewer than 12 characters are cards no labeler could take for one: 14 digits are the least.
+    rows = rows.where("strict or kind <> 'card' or size >= 3")
     # What lies inside a strict span is part of it; what reaches beyond one is voted on.
-    clear = lambda c: ~F.exists("sure", lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
-    return rows.select("doc_id", F.filter("every", lambda c: c["strict"] | clear(c)).alias("found"), *["text"] * keep_text)
+    until = Window.partitionBy("rid").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    cover = F.max(F.when(F.col("strict"), F.col("end"))).over(until)
+    return rows.withColumn("cover", cover).where("strict or cover is null or cover < end").drop("cover")
 
 
 _VOTES = ("v1", "v2", "v3", "v4")
@@ -199,41 +203,45 @@ _ORDER = {k: i for i, k in enumerate((*KINDS, "secret"))}
 
 
 def _joined(spans: Column) -> Column:
-    """kind:start:end by start, then kind as listed, comma-joined; each span once."""
-    rank = F.create_map(*[F.lit(x) for k, i in _ORDER.items() for x in (k, i)])
-    keyed = F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.struct(s["start"], F.element_at(rank, s["kind"]).alias("o"), s["end"], s["kind"]))))
-    return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def _count(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def _decided(found: DataFrame, decide: float) -> tuple[Column, Column]:
-    """The strict spans, and all spans with those that the classifier trained on ``found`` adds."""
-    one = found.select(F.explode("found").alias("c")).select("c.*")
-    patterns = stage(one.groupBy("kind", *_VOTES, "size").agg(F.count("*").alias("n")), "patterns")
+def _decided(docs: DataFrame, decide: float) -> DataFrame:
+    """rid and ``spans`` (start, o, end, kind, strict): all that the strict rules or the classifier accept, of rows that have any."""
+    found = stage(candidates(docs), "candidates")
+    patterns = stage(found.groupBy("kind", *_VOTES, "size").agg(F.count("*").alias("n")), "patterns")
     added = sorted(k for k, odds in span_classifier(patterns).items() if odds >= decide)
-    chosen = F.array(*map(F.lit, added)).cast("array<string>")
-    key = lambda c: F.concat_ws("|", c["kind"], *[c[v] for v in _VOTES], c["size"])
-    return F.filter("found", lambda c: c["strict"]), F.filter("found", lambda c: c["strict"] | F.array_contains(chosen, key(c)))
+    chosen = F.concat_ws("|", "kind", *_VOTES, "size").isin(added) if added else F.lit(False)
+    order = reduce(lambda out, k: out.when(F.col("kind") == k, _ORDER[k]), KINDS, F.when(F.col("kind") == "secret", _ORDER["secret"]))
+    # A span that two patterns find is one.
+    once = found.where(F.col("strict") | chosen).groupBy("rid", "start", order.alias("o"), "end", "kind").agg(F.max("strict").alias("strict"))
+    return stage(once.groupBy("rid").agg(F.collect_list(F.struct("start", "o", "end", "kind", "strict")).alias("spans")), "spans")
 
 
 def personal_data(docs: DataFrame, decide: float = DECIDE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
-    The counts and the digest are of the spans that the strict rules accept; ``spans``
-    has these and the spans the classifier adds, kind secret included. Null and empty
-    texts have none. Repeated rows are reported each; an empty table gives no rows.
-    Only doc_id and text are read. Positions are code points, ends exclusive.
+    The counts of kinds and the digest are of the spans that the strict rules accept;
+    ``spans`` has these and the spans the classifier adds, kind secret included, and
+    ``n_spans`` counts them. Null and empty texts have none. Repeated rows are reported
+    each; an empty table gives no rows. Only doc_id and text are read, and ``docs`` must
+    re-read alike: row numbers name rows. Positions are code points, ends exclusive.
     """
-    found = stage(candidates(docs), "candidates")
-    base, every = _decided(found, decide)
-    return found.select(
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id")
+    none = F.array().cast("array<struct<start:int,o:int,end:int,kind:string,strict:boolean>>")
+    rows = rows.join(_decided(docs, decide), "rid", "left").withColumn("spans", F.coalesce("spans", none))
+    base = F.filter("spans", lambda s: s["strict"])
+    return rows.select(
         "doc_id",
         *[_count(base, k) for k in KINDS],
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
-        _joined(every).alias("spans"),
+        _joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -241,17 +249,29 @@ def redact(docs: DataFrame, decide: float = DECIDE) -> DataFrame:
     """doc_id and text of each row with every span replaced by its kind in angle brackets.
 
     Of spans that overlap, the first is replaced and what others have beyond it goes too.
+    Null texts become empty; rows are as in ``personal_data``.
     """
-    found = stage(candidates(docs, keep_text=True), "candidates")
-    _, every = _decided(found, decide)
-    spans = F.array_sort(F.transform(every, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-
-    def put(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        between = F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"])
-        mark = F.concat(F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(fresh, F.concat(done["out"], between, mark)).otherwise(done["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text")))
-    return found.select("doc_id", F.aggregate(spans, start, put, rest).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    one = _decided(docs, decide).select("rid", F.explode("spans").alias("s")).select("rid", "s.*")
+    # Spans that overlap make one island.
+    order = Window.partitionBy("rid").orderBy("start", "o", "end")
+    seen = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    one = one.withColumn("fresh", (seen.isNull() | (F.col("start") >= seen)).cast("int"))
+    one = one.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = one.groupBy("rid", "island").agg(F.min(F.struct("start", "o", "kind")).alias("f"), F.max("end").alias("end"))
+    ends = F.array_sort(F.collect_list(F.struct("f.start", "end", F.col("f.kind").alias("kind"))))
+    found = rows.join(islands.groupBy("rid").agg(ends.alias("spans")), "rid", "left")
+
+    def put(blocks: Column) -> Column:
+        """The text between islands, read from the blocks it lies in only, with the islands' marks."""
+        stops = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+        starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.col("size")))
+        marks = F.concat(F.transform("spans", lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))), F.array(F.lit("")))
+        parts = F.arrays_zip(stops.alias("a"), starts.alias("b"), marks.alias("m"))
+        at = lambda x: F.floor(x / REDACT_BLOCK).cast("int")
+        held = lambda p: F.array_join(F.slice(blocks, at(p["a"]) + 1, at(p["b"]) - at(p["a"]) + 1), "")
+        return F.array_join(F.transform(parts, lambda p: F.concat(F.substring(held(p), p["a"] % REDACT_BLOCK + 1, p["b"] - p["a"]), p["m"])), "")
+
+    blocks = F.array(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % REDACT_BLOCK), F.lit(0)))  # bound once, not once per span
+    found = found.withColumn("size", F.length("text"))
+    return found.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.transform(blocks, put)[0]).alias("text"))

@@ -50,7 +50,7 @@ def test_base_spans_against_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), (t, r.spans, joined)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, *_ in want) for k in PATTERNS]
         spans = r.spans.split(",") if r.spans else []
-        assert set(joined.split(",")) - {""} <= set(spans) and len(set(spans)) == len(spans)
+        assert set(joined.split(",")) - {""} <= set(spans) and len(set(spans)) == len(spans) == r.n_spans
 
 
 def test_labelers_learn_and_add(spark):
@@ -93,5 +93,21 @@ def test_candidates_beyond_strict_spans_are_kept(spark):
     assert all(got[i] == ["card:4:20", "phone:29:41"] for i in range(300, 400))
 
 
+def test_two_hundred_thousand_matches_in_one_text(spark):
+    import time
+
+    n = 200_000
+    rows = [(1, "".join(f"é{k}@x.io, " for k in range(n))), (2, "no data"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    began = time.time()
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert got[1].n_email == n and got[2].n_spans == got[3].n_spans == 0
+    joined = ",".join("%s:%d:%d" % x for x in brute(rows[0][1]))
+    assert got[1].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean == {1: "é<email>, " * n, 2: "no data", 3: ""}
+    assert time.time() - began < 120
+
+
 def test_empty(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
