@@ -111,17 +111,23 @@ def partitions(df: DataFrame) -> int:
 HOT_KEYS = 512
 
 
-def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n: str = "n", total: int | None = None) -> DataFrame:
     """Join ``right``, of one row per key, to the rows of ``left`` that share the key.
 
-    ``right`` is a staged table with the number ``n`` of left rows of each key. Rows of
+    ``right`` has the number ``n`` of left rows of each key, ``total`` in all. Rows of
     hot keys stay where they are and get their fewer than ``HOT_KEYS`` partners, fixed-size
     rows, by broadcast; all others meet by an exchange in which no key holds more than
-    one in ``HOT_KEYS`` of the rows. ``n`` is dropped. Null keys find nothing.
+    one in ``HOT_KEYS`` of the rows. ``n`` is dropped. Null keys find nothing. Without
+    hot keys this is a plain join.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(n)).first()[0] or 0
     is_hot = F.col(n) * HOT_KEYS > total
-    hot, cold = right.where(is_hot).drop(n), right.where(~is_hot).drop(n)
+    few = right.where(is_hot).drop(n).collect()
+    if not few:
+        return left.join(right.drop(n), keys, how)
+    hot = right.sparkSession.createDataFrame(few, right.drop(n).schema)
+    cold = right.where(~is_hot).drop(n)
     near = left.join(F.broadcast(hot), keys)
     far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)
@@ -180,19 +186,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return tuple(r)
 
     def least(e: DataFrame) -> DataFrame:
-        return stage(e.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), "least")
+        return e.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
 
     seen = mark(cur)
     while seen[0]:
         both = cur.union(cur.select("b", "a"))
-        around = least(both)
-        large = stage(beside(both.where("b > a"), around, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        around = beside(both.where("b > a"), least(both), ["a"], total=2 * seen[0])
+        large = stage(around.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: every node has only smaller neighbours left; hang them under the smallest.
         below = least(large)
         small = beside(large, below, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         nxt = stage(small.union(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = mark(nxt)
-        unstage(cur, around, large, below)
+        unstage(cur, large)
         cur = nxt
         if now == seen:
             break

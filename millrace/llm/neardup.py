@@ -6,7 +6,7 @@ form a candidate group. A group is compared in full, or bucket by bucket where i
 buckets, each set of members once, hold fewer pairs: then pairs that only hang
 together over others are not compared. Either way members stand in the order of
 their sets' sizes and meet in cells of at most two blocks, and blocks whose sizes
-rule out the similarity do not meet. A cell returns links that span what it found,
+rule out the similarity do not meet. A block's members and shingles are bounded. A cell returns links that span what it found,
 not its pairs. Bands and their rows follow from the threshold: at 0.85, 25 bands of
 5 rows, and a pair at it shares no band with a probability of (1 - 0.85**5)**25 = 4e-7,
 less above it; at 0.80, 32 bands of 4 rows, 5e-8.
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.cells import run_cells, size_blocks
@@ -28,7 +28,9 @@ from millrace.llm.shingles import COORDS, band_keys, class_key, shingle_set, ske
 PERCENT = 85
 #: A pair at the threshold shares no band with this probability at most, where the sketch has coordinates enough.
 MISS = 1e-6
+#: Members of a block, at most, and shingles of a block, by its sizes' power of two.
 BLOCK = 256
+BLOCK_ITEMS = 1 << 19
 #: Columns of an incidence matrix held at once.
 COLUMNS = 8192
 
@@ -181,10 +183,15 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     nodes = seen.select("rid", "bands").join(classes.select(F.col("node").alias("rid"), "size"), "rid")
     keys = stage(nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node"), "size"), "bands")
     unit = ["way", "unit"]
-    ranked = global_rank(_units(keys, classes), [*unit, "size", "node"], "pos")
-    spans = stage(ranked.groupBy(*unit).agg(F.min("pos").alias("first"), F.count("*").alias("n")), "spans")
-    block = F.floor((F.col("pos") - F.col("first")) / BLOCK).cast("int").alias("block")
-    placed = stage(beside(ranked, spans, unit).select(*unit, "node", "size", block), "placed")
+    # Members stand by size; those within a power of two make a run of blocks of so many members.
+    level = F.floor(F.log2(F.col("size").cast("double"))).cast("int").alias("level")
+    members = F.expr(f"greatest(least(shiftright({BLOCK_ITEMS}, level + 1), {BLOCK}), 1)")
+    ranked = global_rank(_units(keys, classes).select("*", level), [*unit, "level", "size", "node"], "pos")
+    spans = ranked.groupBy(*unit, "level").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy(*unit).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    spans = stage(spans.withColumn("base", F.coalesce(F.sum(F.ceil(F.col("n") / members)).over(earlier), F.lit(0))), "spans")
+    block = (F.col("base") + F.floor((F.col("pos") - F.col("first")) / members)).cast("int").alias("block")
+    placed = stage(beside(ranked, spans, [*unit, "level"]).select(*unit, "node", "size", block), "placed")
     unstage(keys, ranked)
     reach = size_blocks(placed, unit, percent)
     # A node is in one group, or in as many buckets as there are bands at most.

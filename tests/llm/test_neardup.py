@@ -78,6 +78,29 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+def test_chained_candidates_are_compared_by_bucket(spark):
+    """Texts that share bands with their neighbours only: one group, of whose pairs the buckets hold few."""
+    rng = random.Random(3)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(3000)]
+    rows = [(i, " ".join(words[i * 11 : i * 11 + 100])) for i in range(250)]
+    rows += [(500 + i, " ".join(words[i * 11 : i * 11 + 97])) for i in range(0, 250, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    seen = neardup._sketched(docs, 85).cache()
+    nodes = seen.selectExpr("rid as node", "n_shingles as size")
+    units = neardup._units(seen.selectExpr("explode(bands) as key", "rid as node", "n_shingles as size"), nodes).collect()
+    per = Counter((r.way, r.unit) for r in units)
+    assert any(w == 1 for w, _ in per) and sum(n * n for n in per.values()) < len(rows) ** 2 / 4
+    assert sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
+def test_long_and_short_texts_do_not_share_blocks(spark):
+    rng = random.Random(6)
+    long = [" ".join("v%d" % rng.randrange(10**7) for _ in range(n)) for n in (9_000, 40_000)]
+    rows = [(i, t + (" tail" * (i % 3))) for i, t in enumerate(long * 3)] + [(50 + i, "a b c d e f") for i in range(5)] + [(90, long[0][: len(long[0]) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    assert sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
 def test_bands_follow_from_the_threshold(spark):
     assert neardup.banding(85) == (25, 5) and neardup.banding(80) == (32, 4)
     for percent in range(12, 101):
