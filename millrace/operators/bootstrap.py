@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import busy_tasks
+
 
 def block_indices(n: int, block: int, draws: int, seed: int) -> np.ndarray:
     """(draws x n) positions: blocks start uniformly and are laid end to end, cut at n."""
@@ -45,31 +47,32 @@ def _interval(values: np.ndarray, alpha: float) -> tuple[float | None, float | N
     return float(low), float(high)
 
 
-def _per_cell(rows: DataFrame, keys: list[str], each: Callable[[pd.DataFrame], dict], columns: str) -> DataFrame:
-    """One task per cell; a cell holds the weeks of one symbol."""
+def _per_cell(rows: DataFrame, keys: list[str], each: Callable[[pd.DataFrame], dict | None], columns: str) -> DataFrame:
+    """A row per cell from its weeks, of one symbol, in order; none where ``each`` gives None."""
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         got = each(part.sort_values("week"))
-        return pd.DataFrame([[*(part[k].iloc[0] for k in keys), *(got.get(c) for c in names)]], columns=[*keys, *names])
+        found = [] if got is None else [[*(part[k].iloc[0] for k in keys), *(got.get(c) for c in names)]]
+        return pd.DataFrame(found, columns=[*keys, *names])
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {columns}")
+    return rows.repartition(busy_tasks(rows), *keys).groupBy(*keys).applyInPandas(run, f"{kinds}, {columns}")
 
 
 def ic_interval(pairs: DataFrame, keys: list[str], block: int = 8, draws: int = 1500, seed: int = 11, alpha: float = 0.10, least: int = 30) -> DataFrame:
     """Rank correlation of (s, t) per cell with its interval; cells with fewer than ``least`` rows are left out."""
 
-    def each(part: pd.DataFrame) -> dict:
+    def each(part: pd.DataFrame) -> dict | None:
+        if len(part) < least:
+            return None
         s, t = part["s"].to_numpy(float), part["t"].to_numpy(float)
         ix = block_indices(len(s), block, draws, seed)
         low, high = _interval(rank_correlation(s[ix], t[ix]), alpha)
         ic = float(rank_correlation(s, t))
         return {"n": len(s), "ic": ic if np.isfinite(ic) else None, "low": low, "high": high}
 
-    known = pairs.where("s is not null and t is not null")
-    enough = known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys)
-    return _per_cell(known.join(enough, keys, "left_semi"), keys, each, "n long, ic double, low double, high double")
+    return _per_cell(pairs.where("s is not null and t is not null"), keys, each, "n long, ic double, low double, high double")
 
 
 def mean_interval(rows: DataFrame, keys: list[str], block: int = 8, draws: int = 1000, seed: int = 11, alpha: float = 0.10, least: int = 15) -> DataFrame:
@@ -108,6 +111,18 @@ def difference_interval(
     return _per_cell(rows.where("t is not null"), keys, each, "n_on long, n_off long, diff double, low double, high double")
 
 
+def statistic_intervals(
+    rows: DataFrame, keys: list[str], stat: Callable = np.mean, block: int = 10, draws: int = 2000, alpha: float = 0.05, seed: int = 7
+) -> DataFrame:
+    """(keys, n, low, high) of any statistic of t per cell, in the order of weeks; null bounds below five values."""
+
+    def each(part: pd.DataFrame) -> dict:
+        low, high = statistic_interval(part["t"].to_numpy(float), stat, block, draws, alpha, seed)
+        return {"n": len(part), "low": low if np.isfinite(low) else None, "high": high if np.isfinite(high) else None}
+
+    return _per_cell(rows.where("t is not null"), keys, each, "n long, low double, high double")
+
+
 def statistic_interval(x: np.ndarray, stat: Callable = np.mean, block: int = 10, draws: int = 2000, alpha: float = 0.05, seed: int = 7) -> tuple[float, float]:
     """Interval of any statistic of a series; NaN below five values."""
     if len(x) < 5:
@@ -116,7 +131,7 @@ def statistic_interval(x: np.ndarray, stat: Callable = np.mean, block: int = 10,
     return float(np.quantile(values, alpha / 2)), float(np.quantile(values, 1 - alpha / 2))
 
 
-def relational(rows: DataFrame, keys: list[str], block: int = 8, draws: int = 50, seed: int = 11) -> DataFrame:
+def relational(rows: DataFrame, keys: list[str], block: int = 8, draws: int = 1000, seed: int = 11) -> DataFrame:
     """Resampled rows (keys, draw, position, and all columns) as a join on positions.
 
     Starts come from fixed arithmetic instead of a generator's stream, so any SQL

@@ -35,7 +35,7 @@ def plain_veto(correlated: float | None = None) -> Column:
 def gated(panel: DataFrame, gates: DataFrame) -> DataFrame:
     """(symbol, date, vetoed) under each symbol's gate; a symbol without one is never vetoed."""
     c = F.col
-    rows = panel.join(F.broadcast(gates), "symbol", "left")  # a row per symbol
+    rows = panel.join(gates, "symbol", "left")  # a row per symbol: broadcast where its size says so
     legs = [
         c("rsi14") < c("rsi"), c("ret84") < c("trend84"), c("use_ma200") & (c("px") < c("ma200")), F.try_divide("px", "ma200") - 1.0 < c("ma200_pct"),
         c("sector_corr_60") < c("sector_corr"), c("absorption_shift") > c("absorption"),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.quotes import FEES, fill, usable
+from millrace.session import busy_tasks
 
 # Fixed values of the settlement rules.
 EXERCISE_FROM = 0.01
@@ -332,12 +333,19 @@ _OBJECTS = [x.split()[0] for x in _LOG.split(", ") if x.endswith((" date", " str
 RUN = ("symbol", "strategy", "scenario")
 
 
-def run_ledgers(tape: DataFrame, runs: DataFrame, initial_shares: int = 200, extra: float = 1.01) -> DataFrame:
+def run_ledgers(
+    tape: DataFrame, runs: DataFrame, initial_shares: int = 200, extra: float = 1.01, start: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
     """All runs' equity, trade and event rows in one tagged log; ``runs`` is (symbol, strategy, scenario).
 
     Every run starts with the cash for ``initial_shares`` at the first session's price, and
     a margin. ``tape`` rows are as ``fold`` takes them; the gate is the column ``vetoed``.
+    Sessions before ``start`` and after ``end`` are left out.
     """
+    if start is not None:
+        tape = tape.where(F.col("session") >= F.lit(start))
+    if end is not None:
+        tape = tape.where(F.col("session") <= F.lit(end))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         symbol, name, scenario = (part[c].iloc[0] for c in RUN)
@@ -357,7 +365,7 @@ def run_ledgers(tape: DataFrame, runs: DataFrame, initial_shares: int = 200, ext
         return frame.assign(symbol=symbol, strategy=name, scenario=scenario)
 
     joined = runs.join(tape, "symbol")
-    return joined.groupBy(*RUN).applyInPandas(run, _LOG)
+    return joined.repartition(busy_tasks(joined), *RUN).groupBy(*RUN).applyInPandas(run, _LOG)
 
 
 def equity_log(log: DataFrame) -> DataFrame:

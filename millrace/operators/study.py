@@ -6,6 +6,8 @@ of cells is one join and one aggregation.
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,27 +69,38 @@ def cutoffs(weeks: DataFrame, columns: list[str], probabilities: tuple[float, ..
     return found.select("symbol", "signal", grid).select("symbol", "signal", F.element_at(qs, F.col("_k") + 1).alias("q"), "cut")
 
 
+# The cutoffs taken from each symbol's weeks: name, signal, probability, digits.
+CUTOFFS = (
+    ("sector_corr_lo_tercile", "sector_corr_60", 1 / 3, 3), ("sector_corr_hi_tercile", "sector_corr_60", 2 / 3, 3), ("trend_84d_top_decile", "trend_84d", 0.9, 4),
+    ("vol_lo_tercile", "vol_own", 1 / 3, 1), ("vol_hi_tercile", "vol_own", 2 / 3, 1), ("rsi14_lo_tercile", "rsi14", 1 / 3, 1),
+)
+# The published conditions: name, signal, comparison, and a number or the name of a cutoff.
+CONDITIONS = (
+    ("rsi14_lt_40", "rsi14", "<", 40.0), ("sector_corr_lt_0.45", "sector_corr_60", "<", 0.45), ("sector_corr_gt_0.70", "sector_corr_60", ">", 0.70),
+    ("trend_84d_lt_0", "trend_84d", "<", 0.0), ("px_below_ma200", "px_vs_ma200", "<", 0.0), ("deep_dd_60_lt_-0.12", "deep_dd_60", "<=", -0.12),
+    ("vol_top_tercile", "vol_own", ">=", "vol_hi_tercile"), ("sector_corr_lo_tercile", "sector_corr_60", "<", "sector_corr_lo_tercile"),
+    ("sector_corr_hi_tercile", "sector_corr_60", ">", "sector_corr_hi_tercile"), ("trend_84d_top_decile", "trend_84d", ">", "trend_84d_top_decile"),
+    ("vol_lo_tercile", "vol_own", "<", "vol_lo_tercile"), ("vol_hi_tercile", "vol_own", ">", "vol_hi_tercile"), ("rsi14_lo_tercile", "rsi14", "<", "rsi14_lo_tercile"),
+)
+COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+def named_cutoffs(weeks: DataFrame) -> DataFrame:
+    """(symbol, a column per cutoff), rounded as they are reported."""
+    return weeks.groupBy("symbol").agg(*[F.round(F.percentile(signal, F.lit(q)), digits).alias(name) for name, signal, q, digits in CUTOFFS])
+
+
 def conditions(weeks: DataFrame) -> DataFrame:
     """(symbol, week, condition, on): thirteen named predicates; a null signal is off.
 
     Cutoffs are taken per symbol from all its weeks and rounded as they are reported:
-    three digits for correlations and trends, one for the index and the oscillator.
+    three digits for correlations, four for trends, one for the index and the oscillator.
     """
-    third, two, top = 1 / 3, 2 / 3, 0.9
-    p = lambda c, q, d: F.round(F.percentile(c, F.lit(q)), d)
-    cuts = weeks.groupBy("symbol").agg(
-        p("sector_corr_60", third, 3).alias("c1"), p("sector_corr_60", two, 3).alias("c2"), p("vol_own", third, 1).alias("v1"), p("vol_own", two, 1).alias("v2"),
-        p("rsi14", third, 1).alias("r1"), p("trend_84d", top, 4).alias("t9"),
-    )
-    c = F.col
-    named: dict[str, Column] = {
-        "rsi_lt40": c("rsi14") < 40, "corr_lt045": c("sector_corr_60") < 0.45, "corr_gt070": c("sector_corr_60") > 0.70, "trend_neg": c("trend_84d") < 0,
-        "below_ma200": c("px_vs_ma200") < 0, "deep_drawdown": c("deep_dd_60") <= -0.12, "vol_top_tercile": c("vol_own") >= c("v2"), "corr_lo_tercile": c("sector_corr_60") < c("c1"),
-        "corr_hi_tercile": c("sector_corr_60") > c("c2"), "trend_top_decile": c("trend_84d") > c("t9"), "vol_lo_tercile": c("vol_own") < c("v1"),
-        "vol_hi_tercile": c("vol_own") > c("v2"), "rsi_lo_tercile": c("rsi14") < c("r1"),
-    }
-    rows = weeks.join(F.broadcast(cuts), "symbol").select("symbol", "week", *[flag(x).alias(k) for k, x in named.items()])
-    return rows.unpivot(["symbol", "week"], list(named), "condition", "on")
+    rows = weeks.join(named_cutoffs(weeks), "symbol")
+    against = lambda x: F.col(f"`{x}`") if isinstance(x, str) else F.lit(x)
+    named = {name: COMPARE[how](F.col(signal), against(x)) for name, signal, how, x in CONDITIONS}
+    flags = F.array(*[F.struct(F.lit(name).alias("condition"), flag(x).alias("on")) for name, x in named.items()])
+    return rows.select("symbol", "week", F.inline(flags))
 
 
 def bucket_difference(rows: DataFrame, keys: list[str], least: int = LEAST_DIFF) -> DataFrame:
@@ -113,7 +126,7 @@ def sweep_cells(weeks: DataFrame, targets: DataFrame, signals: list[str], names:
         s = s.where(~((F.col("symbol") == market) & (F.col("signal") == "beta_60")))
     cuts = cutoffs(weeks, signals, QUANTILES)
     t = long(targets, names, "target", "t").where("t is not null")
-    cells = s.join(F.broadcast(cuts), ["symbol", "signal"])  # symbols x signals x quantiles: a fixed grid
+    cells = s.join(cuts, ["symbol", "signal"])
     return cells.withColumn("on", flag(F.col("s") >= F.col("cut"))).join(t, ["symbol", "week"])
 
 

@@ -36,8 +36,9 @@ def session_tape(
     quotes = quotes.groupBy(*by).agg(F.array_sort(F.collect_set(quote)).alias("quotes"))
     expiries = chain.select("symbol", F.col("expiration").alias("day")).distinct()
     settled = as_of(expiries, closes, "close", "day", "date", ("symbol",))
-    settled = settled.join(days.select("symbol", "session"), "symbol").where(F.col("day") < F.col("session"))
-    settled = settled.groupBy("symbol", "day", "close").agg(F.min("session").alias("session"))
+    # The first session after an expiry, by one sort of both.
+    following = days.select("symbol", "session", F.lit(0.0).alias("nothing"))
+    settled = next_event(settled, following, "day", "session", "nothing").where("next_day is not null").withColumnRenamed("next_day", "session")
     settled = settled.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("day", "close"))).alias("closes"))
     for part in (paid, quotes, settled):
         tape = tape.join(part, by, "left")

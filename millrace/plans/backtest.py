@@ -1,20 +1,22 @@
 """Command line: backtests and the signal study over a folder of market tables.
 
-    python -m millrace.plans.backtest ROOT OUT [--scenario base] [--delta 0.25] [--symbols SPY QQQ IWM]
+    python -m millrace.plans.backtest ROOT OUT [--scenario base] [--delta 0.25] [--symbols SPY QQQ IWM] [--start DATE] [--end DATE]
     python -m millrace.plans.backtest ROOT OUT --study
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.quotes import FEES
-from millrace.operators import bootstrap, features, gates, ledger, metrics, selection, study, tape, targets
+from millrace.operators import features, gates, ledger, metrics, selection, study, tape, targets
 from millrace.operators.calendar import as_of
+from millrace.plans import documents
 from millrace.session import session
 from millrace.sources import market, sinks
 
@@ -34,41 +36,34 @@ def _series(spark: SparkSession, root: str, symbols: tuple[str, ...]) -> tuple[D
     return px, vol
 
 
-def run_backtests(spark: SparkSession, root: str, symbols: tuple[str, ...] = SYMBOLS, scenario: str = "base", delta: float = 0.25, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
-    """The tagged log of every symbol's and strategy's run."""
+def run_backtests(
+    spark: SparkSession, root: str, symbols: tuple[str, ...] = SYMBOLS, scenario: str = "base", delta: float = 0.25, strategies: tuple[str, ...] = STRATEGIES,
+    start: dt.date | None = None, end: dt.date | None = None,
+) -> DataFrame:
+    """The tagged log of every symbol's and strategy's run, over the sessions from ``start`` to ``end``."""
     chain = _all([market.option_chain(spark, root, s) for s in symbols]).withColumnRenamed("underlying_price", "spot")
     rates = market.treasury_rates(spark, root)
     px, vol = _series(spark, root, symbols)
     panel = features.signal_panel(px, market.sector_series(spark, root), vol, market.eigen_features(spark, root))
     vetoes = gates.gated(panel, gates.fund_gates(spark))
-    rated = as_of(chain, rates, "rate", "session", "date").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    # Rates are looked up for the sessions, not for every quote.
+    rated = chain.join(as_of(chain.select("session").distinct(), rates, "rate", "session", "date"), "session").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
     picks = selection.pick_by_delta(rated, F.col("rate"), target=delta)
     closes = _all([market.daily_prices(spark, root, s).select("symbol", "date", "close") for s in symbols])
     paid = _all([market.dividends(spark, root, s) for s in symbols])
     days = tape.session_tape(chain, closes, rates, paid, picks, vetoes)
     runs = spark.createDataFrame([(s, g, scenario) for s in symbols for g in strategies], "symbol string, strategy string, scenario string")
-    return ledger.run_ledgers(days, runs)
+    return ledger.run_ledgers(days, runs, start=start, end=end)
 
 
 def run_study(spark: SparkSession, root: str, symbols: tuple[str, ...] = SYMBOLS) -> dict[str, DataFrame]:
-    """Rank correlations, breach rates, the forest and the sweep, each a row per cell."""
+    """Rank correlations, breach rates, the forest and the sweep, each a row per cell, and the two documents made of them."""
     px, vol = _series(spark, root, symbols)
     panel = features.research_panel(px, market.sector_series(spark, root), vol, market.eigen_features(spark, root), symbols[0])
     goals = study.weekly(targets.target_panel(px, vol, symbols[0]), SINCE).cache()
     signals = study.weekly(panel, SINCE).cache()
-    breaches = [targets.breach(m) for m in targets.MULTIPLES]
-    names = ["fwd_ret", "upside_tail", "vol_norm_ret"]
-    pairs = study.long(signals, list(study.SIGNALS), "signal", "s").join(study.long(goals, [*names, breaches[0]], "target", "t"), ["symbol", "week"])
-    forest = study.conditions(signals).join(study.long(goals, names, "target", "t"), ["symbol", "week"])
-    cells = study.sweep_cells(signals, goals, list(study.SIGNALS), breaches, symbols[0])
-    return {
-        "ic": bootstrap.ic_interval(pairs, ["target", "symbol", "signal"]),
-        "breach_rates": study.breach_rates(goals, breaches),
-        "cutoffs": study.cutoffs(signals, list(study.SIGNALS), (1 / 3, 2 / 3, 0.9)),
-        "forest": bootstrap.difference_interval(forest, ["target", "symbol", "condition"], draws=1500),
-        "sweep": bootstrap.difference_interval(cells, ["symbol", "signal", "target", "q"]),
-        "weeks": study.observed_weeks(signals, list(study.SIGNALS)),
-    }
+    parts = documents.study_parts(signals, goals, symbols[0])
+    return parts | {"research": documents.research(parts, SINCE), "threshold_sweep": documents.threshold_sweep(parts)}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -78,6 +73,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--scenario", default="base", choices=sorted(FEES))
     p.add_argument("--delta", type=float, default=0.25)
     p.add_argument("--symbols", nargs="+", default=list(SYMBOLS))
+    p.add_argument("--start", type=dt.date.fromisoformat)
+    p.add_argument("--end", type=dt.date.fromisoformat)
     p.add_argument("--study", action="store_true")
     a = p.parse_args(argv)
     spark = session("backtest")
@@ -86,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
             sinks.write_json(rows, f"{a.out}/{name}")
         return
     keys = list(ledger.RUN)
-    log = run_backtests(spark, a.root, tuple(a.symbols), a.scenario, a.delta).cache()
+    log = run_backtests(spark, a.root, tuple(a.symbols), a.scenario, a.delta, start=a.start, end=a.end).cache()
     for name, rows in (("equity", ledger.equity_log(log)), ("trades", ledger.trade_log(log)), ("events", ledger.event_log(log))):
         sinks.write_logs(rows, f"{a.out}/{name}")
     equity = ledger.equity_log(log)

@@ -236,7 +236,23 @@ def lagged_panel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panel(spark, d))
 
 
-@query("signal_panel")
+# The traded panel's columns beside those of the researched one.
+SIGNAL = PANEL | {
+    "rets": f"SELECT symbol, date, {', '.join(f'close / {lag('close', k)} - 1e0 AS ret{k}' for k in (1, 5, 21))} FROM px",
+    "r21": f"SELECT symbol, date, ret21 AS x, row_number() OVER ({W}) AS n FROM rets",
+    "pct": """SELECT a.symbol, a.date, CASE WHEN count(b.x) >= 252 THEN (count(*) FILTER (WHERE b.x < a.x) + (count(*) FILTER (WHERE b.x = a.x) + 1) / 2e0) / count(b.x) END AS ret21_pctile
+      FROM r21 a JOIN r21 b ON a.symbol = b.symbol AND b.n BETWEEN a.n - 755 AND a.n WHERE a.x IS NOT NULL GROUP BY 1, 2""",
+    "bands": "SELECT symbol, date, ma20, coalesce(close > ma200, false) AS above_ma200, coalesce(close > ma200 * 1.01e0, false) AS above_ma200_up, coalesce(close > ma200 * 9.9e-1, false) AS above_ma200_dn FROM ma",
+    "ddl": "SELECT symbol, date, dd FROM dd0",
+    "sraw": """SELECT raw.symbol, raw.date, raw.px, rets.ret1, rets.ret5, rets.ret21, raw.ret84, raw.rsi14, bands.ma20, raw.ma200, above_ma200, above_ma200_up, above_ma200_dn, ddl.dd, raw.deep_dd_60, ret21_pctile, own.rv20,
+      raw.sector_corr_60, raw.vol_own, raw.absorption_shift
+      FROM raw JOIN rets USING (symbol, date) JOIN bands USING (symbol, date) JOIN ddl USING (symbol, date) JOIN own USING (symbol, date) LEFT JOIN pct USING (symbol, date)""",
+}
+DOUBLES = ["px", "ret1", "ret5", "ret21", "ret84", "rsi14", "ma20", "ma200", "dd", "deep_dd_60", "ret21_pctile", "rv20", "sector_corr_60", "vol_own", "absorption_shift"]
+BANDS = ["above_ma200", "above_ma200_up", "above_ma200_dn"]
+
+
+@query("signal_panel", with_tables(*PANEL_TABLES, extra=SIGNAL) + f"SELECT symbol, date, {', '.join([*(r(lag(c, 1), c) for c in DOUBLES), *(f'{lag(c, 1)} AS {c}' for c in BANDS)])} FROM sraw")
 def signal_panel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(traded(spark, d))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import bootstrap, study
 from millrace.plans.catalog import BREACHES, LAGGED, MARKET, PANEL_TABLES, TARGETS, labels, panel, query, r, rounded, weekly_sql
+from millrace.plans import documents
 from millrace.plans.oracle_base import with_tables
 
 SIG = list(study.SIGNALS)
@@ -61,16 +63,11 @@ def quantile_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 COND = {
-    "cc": """SELECT symbol, round(quantile_cont(sector_corr_60, 1e0 / 3e0), 3) AS c1, round(quantile_cont(sector_corr_60, 2e0 / 3e0), 3) AS c2, round(quantile_cont(vol_own, 1e0 / 3e0), 1) AS v1,
-      round(quantile_cont(vol_own, 2e0 / 3e0), 1) AS v2, round(quantile_cont(rsi14, 1e0 / 3e0), 1) AS r1, round(quantile_cont(trend_84d, 9e-1), 4) AS t9 FROM panel_w GROUP BY 1""",
+    "cc": "SELECT symbol, " + ", ".join(f'round(quantile_cont({signal}, CAST({q!r} AS DOUBLE)), {digits}) AS "cut_{name}"' for name, signal, q, digits in study.CUTOFFS) + " FROM panel_w GROUP BY 1",
     "cw": "SELECT w.*, cc.* EXCLUDE (symbol) FROM panel_w w JOIN cc ON w.symbol = cc.symbol",
     "on1": " UNION ALL ".join(
-        f"SELECT symbol, week, '{n}' AS condition, coalesce({e}, false) AS is_on FROM cw"
-        for n, e in {
-            "rsi_lt40": "rsi14 < 40", "corr_lt045": "sector_corr_60 < 4.5e-1", "corr_gt070": "sector_corr_60 > 7e-1", "trend_neg": "trend_84d < 0", "below_ma200": "px_vs_ma200 < 0",
-            "deep_drawdown": "deep_dd_60 <= -1.2e-1", "vol_top_tercile": "vol_own >= v2", "corr_lo_tercile": "sector_corr_60 < c1", "corr_hi_tercile": "sector_corr_60 > c2",
-            "trend_top_decile": "trend_84d > t9", "vol_lo_tercile": "vol_own < v1", "vol_hi_tercile": "vol_own > v2", "rsi_lo_tercile": "rsi14 < r1",
-        }.items()
+        f"SELECT symbol, week, '{name}' AS condition, coalesce({signal} {how} " + (f'"cut_{x}"' if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)") + ", false) AS is_on FROM cw"
+        for name, signal, how, x in study.CONDITIONS
     ),
 }
 FT = ["fwd_ret", "upside_tail", "vol_norm_ret"]
@@ -132,7 +129,7 @@ def breach_cells(spark: SparkSession, d: str) -> DataFrame:
 DRAWN = {
     "bc": f"SELECT p.symbol, p.week, coalesce(p.vol_own >= 1.8e1, false) AS is_on, g.{BREACHES[0]} AS t FROM panel_w p JOIN targets_w g ON g.symbol = p.symbol AND g.week = p.week WHERE g.{BREACHES[0]} IS NOT NULL",
     "num": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY week) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM bc",
-    "places": "SELECT symbol, n, draw, unnest(range(n)) AS k FROM (SELECT symbol, count(*) AS n, unnest(range(50)) AS draw FROM bc GROUP BY symbol)",
+    "places": "SELECT symbol, n, draw, unnest(range(n)) AS k FROM (SELECT symbol, count(*) AS n, unnest(range(1000)) AS draw FROM bc GROUP BY symbol)",
     "drawn": """SELECT p.symbol, draw, num.is_on, num.t FROM places p JOIN num ON num.symbol = p.symbol
       AND num.pos = (draw * 7919 + (k // 8) * 104729 + 11) % greatest(1, p.n - 8 + 1) + k % 8""",
 }
@@ -169,7 +166,30 @@ def block_bootstrap_exact_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bootstrap.difference_interval(breach_cells(spark, d), ["symbol"]))
 
 
+@query("block_bootstrap_median")
+def block_bootstrap_median(spark: SparkSession, d: str) -> DataFrame:
+    """The interval of any statistic, here the median upside tail of each symbol's weeks."""
+    tails = goals(spark, d).select("symbol", "week", F.col("upside_tail").alias("t"))
+    return rounded(bootstrap.statistic_intervals(tails, ["symbol"], np.median))
+
+
 @query("quantile_sweep_intervals")
 def quantile_sweep_intervals(spark: SparkSession, d: str) -> DataFrame:
     cells = study.sweep_cells(weeks(spark, d), goals(spark, d), SIG, BREACHES, MARKET)
     return rounded(bootstrap.difference_interval(cells, ["symbol", "signal", "q", "target"]))
+
+
+def study_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return documents.study_parts(weeks(spark, d), goals(spark, d), MARKET)
+
+
+@query("research_document")
+def research_document(spark: SparkSession, d: str) -> DataFrame:
+    """The research document, a row with its text."""
+    return documents.research(study_parts(spark, d), "1995-01-01").select(F.to_json(F.struct("*")).alias("document"))
+
+
+@query("sweep_document")
+def sweep_document(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep document, a row with its text."""
+    return documents.threshold_sweep(study_parts(spark, d)).select(F.to_json(F.struct("*")).alias("document"))

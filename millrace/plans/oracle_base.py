@@ -41,11 +41,10 @@ FROM (SELECT *, avg(bar) OVER (PARTITION BY sector) AS mean FROM (
 SELECT symbol, q + 14 AS ex_date, 2.5e-1 + 1e-2 * ((year(q) * 4 + quarter(q)) % 5) AS amount
 FROM (SELECT DISTINCT o_orderpriority AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q FROM orders)"""),
     "chain0": (("px",), """
-SELECT symbol, date AS session, dn, dte, ki, option_type, close AS spot, round(close * (9e-1 + 2.5e-2 * ki), 0) AS strike,
+SELECT symbol, date AS session, dn, dte, ki, option_type, close AS spot, round(close * (9e-1 + 2.5e-2 * ki) + 7e-2, 0) AS strike,
   1.5e-1 + 1e-2 * ((dn * 3 + ki * 5 + dte) % 10) AS iv0
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS dn FROM px)
-CROSS JOIN (SELECT unnest([9, 16, 23, 33, 37, 51]) AS dte) CROSS JOIN (SELECT unnest(range(9)) AS ki) CROSS JOIN (SELECT unnest(['C', 'P']) AS option_type)
-WHERE dn <= 120"""),
+CROSS JOIN (SELECT unnest([9, 16, 23, 33, 37, 51]) AS dte) CROSS JOIN (SELECT unnest(range(9)) AS ki) CROSS JOIN (SELECT unnest(['C', 'P']) AS option_type)"""),
     "chain1": (("chain0",), """
 SELECT *, dte / 3.65e2 AS t, (ln(spot * exp((3e-2 - 1.3e-2) * dte / 3.65e2) / strike) + iv0 * iv0 * dte / 3.65e2 / 2e0) / (iv0 * sqrt(dte / 3.65e2)) AS d1,
   CASE WHEN option_type = 'C' THEN 1e0 ELSE -1e0 END AS sg FROM chain0"""),

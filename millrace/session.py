@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,3 +19,25 @@ def session(app: str = "millrace", **conf: str) -> SparkSession:
     for k, v in (DEFAULTS | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def busy_tasks(rows: DataFrame) -> int:
+    """Tasks for groups that are small in bytes and dear in work: twice the cores, which no size estimate would ask for."""
+    spark = rows.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; what is there goes when the session's JVM ends.
+
+    ``spark.checkpoint.dir``, or else the context's checkpoint folder; in local mode a
+    temporary folder will do, and on a cluster without either this is an error.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(base or 'file://' + tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from millrace.functions.pricing import bs_price
 from millrace.functions.windows import computed
 
-#: What the oracle SQL of the chain keeps of every symbol; queries without SQL take all sessions.
-CHAIN_SESSIONS = 120
 RATE, CARRY = 0.03, 0.013
 
 
@@ -76,19 +74,18 @@ def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", F.date_add("q", 14).alias("ex_date"), ((index % 5) * 0.01 + 0.25).alias("amount"))
 
 
-def chain(spark: SparkSession, sf_dir: str, sessions: int | None = CHAIN_SESSIONS) -> DataFrame:
-    """Option quotes of every symbol's first sessions, or of all with None, around its close."""
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Option quotes of every symbol and session around its close."""
     w = Window.partitionBy("symbol").orderBy("date")
     days = prices(spark, sf_dir).withColumn("dn", F.row_number().over(w))
-    if sessions is not None:
-        days = days.where(F.col("dn") <= sessions)
     grid = spark.range(6 * 9 * 2).select(
         F.element_at(F.array(*map(F.lit, (9, 16, 23, 33, 37, 51))), (F.col("id") % 6 + 1).cast("int")).alias("dte"),
         (F.floor(F.col("id") / 6) % 9).cast("int").alias("ki"),
         F.when(F.col("id") < 54, "C").otherwise("P").alias("option_type"),
     )
     rows = days.crossJoin(F.broadcast(grid))  # a fixed grid of 108 rows
-    rows = rows.withColumn("strike", F.round(F.col("close") * (F.col("ki") * 0.025 + 0.9), 0))
+    # Off the halves, on which a walk that ends where it began would fall and engines round apart.
+    rows = rows.withColumn("strike", F.round(F.col("close") * (F.col("ki") * 0.025 + 0.9) + 0.07, 0))
     rows = rows.withColumn("iv0", ((F.col("dn") * 3 + F.col("ki") * 5 + F.col("dte")) % 10) * 0.01 + 0.15)
     t, call = F.col("dte") / F.lit(365.0), F.col("option_type") == "C"
     rows = computed(rows, mid0=bs_price(F.col("close"), F.col("strike"), t, F.col("iv0"), F.lit(RATE), F.lit(CARRY), call))

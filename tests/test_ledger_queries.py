@@ -21,8 +21,7 @@ def test_ledgers_run_over_all_sessions(spark):
     assert equity.count() == runs * len(days) // 5
     plain = equity.where("strategy = 'buyhold_drip' and scenario = 'base'").select("symbol", "session", F.round("equity", 2).alias("equity")).collect()
     assert {(r.symbol, r.session) for r in plain} == days
-    # The oracle of the holding, its chain without the cap on sessions.
-    whole = SQL["drip_fold"].replace("WHERE dn <= 120", "")
+    whole = SQL["drip_fold"]
     want = {(x, y): z for x, y, z in connect(SF).sql(f"SELECT symbol, session, equity FROM ({whole})").fetchall()}
     assert set(want) == days and all(abs(want[r.symbol, r.session] - r.equity) < 0.011 for r in plain)
     late = {s: sorted(d for x, d in days if x == s)[120] for s in {x for x, _ in days}}

@@ -8,14 +8,6 @@ from millrace.plans.registry import QUERIES, SQL
 from tools.compare import connect, plain
 
 SF = "/root/testdata/sf0.001"
-#: One of each kind of alignment, window, label, study, quote and metric; tools/compare.py runs them all.
-NAMES = [
-    "returns_multi_lag", "rsi14", "return_percentile_rank", "vol_rank_252", "pairwise_corr_mean", "rolling_beta", "asof_rate", "next_event_forward", "lagged_panel", "weekly_friday_last",
-    "breach_rates", "quantile_cutoffs", "quantile_sweep_points", "spearman_ic", "block_bootstrap_diff", "pick_by_delta", "veto_gate", "drip_fold", "equity_metrics", "trade_metrics",
-    "event_stream_buckets",
-]
-
-
 @pytest.fixture(scope="module")
 def con():
     if not os.path.isdir(SF):
@@ -23,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
     df = QUERIES[name](spark, SF)
     rel = con.sql(SQL[name])
