@@ -54,12 +54,12 @@ FILLS = {
 
 
 @query("fill_price_scenarios", with_tables("chain") + f"SELECT {ID}, " + ", ".join(
-    f"{r(f'greatest({b}, 1e-2)', f'buy_{k}')}, {r(f'greatest({s}, 0e0)', f'sell_{k}')}, {r(f, f'fee_{k}')}" for k, (b, s, f) in FILLS.items()
+    f"{r(f'greatest({b}, 1e-2)', f'buy_{k}', 4)}, {r(f'greatest({s}, 0e0)', f'sell_{k}', 4)}, {r(f, f'fee_{k}', 4)}" for k, (b, s, f) in FILLS.items()
 ) + " FROM chain WHERE ask > 0 AND bid <= ask")
 def fill_price_scenarios(spark: SparkSession, d: str) -> DataFrame:
     two = lambda side, k: quotes.execute(side, F.col("bid"), F.col("ask"), F.lit(2), F.lit(k))
     columns = [x for k in quotes.FEES for x in (two("buy", k)["price"].alias(f"buy_{k}"), two("sell", k)["price"].alias(f"sell_{k}"), two("buy", k)["fee"].alias(f"fee_{k}"))]
-    return rounded(S.chain(spark, d).where("ask > 0 and bid <= ask").select(*IDS, *columns))
+    return rounded(S.chain(spark, d).where("ask > 0 and bid <= ask").select(*IDS, *columns), 4)
 
 
 POOL = {"el": f"SELECT * FROM chain WHERE {ELIGIBLE}", "pool": "SELECT * EXCLUDE (k) FROM (SELECT *, dense_rank() OVER (PARTITION BY symbol, session ORDER BY abs(dte - 35), expiration) AS k FROM el) WHERE k = 1"}
@@ -83,10 +83,10 @@ BS = {
 }
 
 
-@query("black_scholes_price", with_tables("chain", extra=BS) + f"SELECT {ID}, {r('exp(-3e-2 * t) * sg * (spot * exp((3e-2 - 1.3e-2) * t) * n1 - strike * n2)', 'price')} FROM b3")
+@query("black_scholes_price", with_tables("chain", extra=BS) + f"SELECT {ID}, {r('exp(-3e-2 * t) * sg * (spot * exp((3e-2 - 1.3e-2) * t) * n1 - strike * n2)', 'price', 4)} FROM b3")
 def black_scholes_price(spark: SparkSession, d: str) -> DataFrame:
     rows = S.chain(spark, d)
-    return rounded(rows.select(*IDS, pricing.bs_price(*_args(rows)).alias("price")))
+    return rounded(rows.select(*IDS, pricing.bs_price(*_args(rows)).alias("price")), 4)
 
 
 @query("bs_greeks", with_tables("chain", extra=BS) + f"""SELECT {ID}, {r('sg * exp(-1.3e-2 * t) * n1', 'delta')}, {r('exp(-1.3e-2 * t) * pdf / (spot * 2e-1 * sqrt(t))', 'gamma')}, {r('spot * exp(-1.3e-2 * t) * pdf * sqrt(t)', 'vega')},
@@ -333,7 +333,7 @@ UNION ALL
 SELECT {RUN_KEYS}, n, 1, NULL, 'stock', session, NULL, NULL, NULL, bought, spot, NULL, tag, NULL, NULL, NULL, NULL, NULL, NULL, tag, NULL FROM step WHERE bought > 0),
 trs AS MATERIALIZED (SELECT * EXCLUDE (n, o), row_number() OVER (PARTITION BY {RUN_KEYS} ORDER BY n, o) - 1 AS seq FROM tr0),
 ev0 AS (
-SELECT {RUN_KEYS}, n, CASE WHEN d_sh < shares_before THEN 2 ELSE 0 END AS o, d_day AS session, 'dividend' AS event, d_amt AS amount, d_sh AS shares, NULL AS strike, NULL AS contracts
+SELECT {RUN_KEYS}, n, CASE WHEN d_sh < shares_before THEN 2 ELSE 0 END AS o, d_day AS session, 'dividend' AS event, d_amt AS amount, d_sh AS shares, CAST(NULL AS DOUBLE) AS strike, CAST(NULL AS BIGINT) AS contracts
  FROM (SELECT step.*, coalesce(a.shares, 0) AS shares_before FROM step JOIN fold a USING (symbol, strategy, scenario) WHERE a.n = step.n - 1) WHERE d_amt > 0 AND d_sh > 0
 UNION ALL
 SELECT {RUN_KEYS}, n, 1, CASE WHEN how = 'called_away' THEN c_exp ELSE done END, CASE WHEN how = 'called_away' THEN 'call_assignment' ELSE 'exdiv_call_assignment' END, NULL, NULL, c_strike, CASE WHEN how = 'called_away' THEN c_n END FROM closed WHERE how <> 'expired'),
