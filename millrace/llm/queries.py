@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from millrace.llm import embeddings, exact, lines, mixing, neardup, packing, pii, sharding, tokencounts, toxicity
 from millrace.llm.common import read
+from millrace.llm.oracles import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +60,20 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("rid")
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 finds by the base rules alone, which SQL can say."""
+    kinds = [f"n_{k}" for k in pii.KINDS]
+    return op2_weak_supervision_pii(spark, sf_dir).select("doc_id", *kinds, "base_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's sizes and targets, and whether what each source gives lies within ten words of its target."""
+    rows = op10_subset_sum_mixing(spark, sf_dir)
+    source = Window.partitionBy("source_size", "target")
+    near = (F.abs(F.sum("taken").over(source) - F.col("target")) <= 10).alias("near")
+    return rows.select("doc_id", "size", "source_size", (F.round("target", 4) + F.lit(0.0)).alias("target"), near)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -70,61 +86,10 @@ def queries() -> dict[str, Query]:
         "op8_toxicity_chain": op8_toxicity_chain,
         "op9_fast_similarity_dedup": op9_fast_similarity_dedup,
         "op10_subset_sum_mixing": op10_subset_sum_mixing,
+        "pii_base_spans": pii_base_spans,
+        "mixing_targets": mixing_targets,
     }
 
 
-OP6_SQL = r"""
-WITH t AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
-), g AS (
-  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256
-)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
-"""
-
-
-OP4_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-), ok AS MATERIALIZED (
-  SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
-  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
-), links AS MATERIALIZED (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
-  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93
-), reach AS (
-  SELECT vec_id AS node, vec_id AS least FROM v
-  UNION SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.node WHERE reach.least < links.b
-), comp AS (
-  SELECT node, min(least) AS component_id FROM reach GROUP BY node
-), degree AS (
-  SELECT a, count(*) AS n FROM links GROUP BY a
-)
-SELECT vec_id, coalesce(degree.n, 0) AS n_links, component_id, vec_id = component_id AS kept
-FROM v JOIN comp ON comp.node = vec_id LEFT JOIN degree ON degree.a = vec_id
-"""
-
-OP9_SQL = """
-WITH RECURSIVE words AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
-), sets AS MATERIALIZED (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
-), items AS MATERIALIZED (
-  SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
-), shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY ALL
-), links AS MATERIALIZED (
-  SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)
-), reach AS (
-  SELECT doc_id AS node, doc_id AS least FROM words
-  UNION SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.node WHERE reach.least < links.b
-), comp AS (
-  SELECT node, min(least) AS component_id FROM reach GROUP BY node
-)
-SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp ON comp.node = doc_id
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_int8_embedding_dedup": OP4_SQL, "op6_radix_exact_dedup": OP6_SQL, "op9_fast_similarity_dedup": OP9_SQL}
+    return dict(SQL)

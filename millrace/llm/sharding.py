@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,11 @@ def _index(cells: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -
         yield pd.Series(hilbert_index(np.stack([s.to_numpy(np.int64) for s in c])))
 
 
+def _hashed(column: str, top: int) -> Column:
+    """A name's cell from the first two digits of its MD5, which any engine can take; null goes to the last cell."""
+    return F.coalesce(F.conv(F.substring(F.md5(F.col(column)), 1, 2), 16, 10).cast("int") % (top + 1), F.lit(top))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, keep: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law ``rows``, shard, slot and grown_shard of each row.
 
@@ -63,7 +68,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: bool = False) -> DataFram
     id's place between the smallest and largest. Row counts of any two shards
     differ by at most one. Ties on the curve are ordered by id and checksum, so a
     hot cell is split like any other run. Null text has size 8 and checksum 0;
-    null metadata is quantised like a value of its own. With fewer rows than
+    null metadata goes to the last cell of its dimension. With fewer rows than
     shards the last ones stay empty; an empty table gives no rows. ``keep`` adds
     the input row as the struct ``row``, else only the columns named are read.
     """
@@ -73,9 +78,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: bool = False) -> DataFram
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     by_id = F.floor((F.coalesce(F.col("doc_id"), F.lit(low or 0)) - F.lit(low or 0)).cast("double") / F.lit(float(span)) * top)
     cells = [
-        F.pmod(F.xxhash64("source"), F.lit(top + 1)),
-        F.pmod(F.xxhash64("lang"), F.lit(top + 1)),
-        F.least(F.floor(F.log2(size.cast("double")) * 8), F.lit(top)),
+        _hashed("source", top),
+        _hashed("lang", top),
+        F.least(F.floor(F.log2(size + 0.5) * 8), F.lit(top)),
         by_id,
     ]
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
