@@ -64,6 +64,7 @@ def run_cells(rows: DataFrame, keys: list[str], each: Callable[[list[dict]], lis
             yield made(found)
         if held:
             yield made(each(held))
+        pa.default_memory_pool().release_unused()
 
     dealt = rows.repartition(partitions(rows), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, schema)

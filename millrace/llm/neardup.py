@@ -28,6 +28,8 @@ from millrace.llm.shingles import COORDS, band_keys, class_key, shingle_set, ske
 PERCENT = 85
 #: A pair at the threshold shares no band with this probability at most, where the sketch has coordinates enough.
 MISS = 1e-6
+#: Texts turned into Python objects at once.
+SLICE = 256
 #: Members of a block, at most, and shingles of a block, by its sizes' power of two.
 BLOCK = 256
 BLOCK_ITEMS = 1 << 19
@@ -51,10 +53,10 @@ def _sketched(docs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2)
-            for at in range(0, len(b), 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, len(b), SLICE):
+                part = b.slice(at, SLICE)
                 sizes, classes, found, rows = [], [], [], []
-                for k, t in enumerate(texts.slice(at, 1024).to_pylist()):
+                for k, t in enumerate(texts.slice(at, SLICE).to_pylist()):
                     items = shingle_set(t)
                     sizes.append(len(items))
                     classes.append(class_key(items) if len(items) else None)
@@ -130,7 +132,7 @@ def cell_links(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], pe
 
 
 def _verified(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from members (way, unit, low, high, block, node, items)."""
+    """Links (a, b) from members (unit, low, high, block, node, items)."""
 
     def links(rows: list[dict]) -> list[tuple]:
         if len(rows) < 2:
@@ -138,7 +140,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(r["items"], np.uint64) for r in rows]
         return cell_links(np.array([r["node"] for r in rows]), np.array([r["block"] for r in rows]), sets, percent)
 
-    return run_cells(members, ["way", "unit", "low", "high"], links, "a long, b long")
+    return run_cells(members, ["unit", "low", "high"], links, "a long, b long")
 
 
 def _with_sets(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -146,8 +148,8 @@ def _with_sets(rows: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, len(b), SLICE):
+                part = b.slice(at, SLICE)
                 items = [shingle_set(t).tobytes() for t in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(items, pa.binary())], [*keep, "items"])
 
@@ -156,7 +158,10 @@ def _with_sets(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _units(keys: DataFrame, classes: DataFrame) -> DataFrame:
-    """(way, unit, node, size): what to compare, candidate groups (way 0) or buckets of one (way 1)."""
+    """(unit, node, size): what to compare, a candidate group under its number or a bucket under its key.
+
+    Should a key equal a group's number, both are compared as one, which loses nothing.
+    """
     same = [F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2")]
     buckets = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center"), *same).where("n > 1"), "buckets")
     shared = stage(beside(keys, buckets.select("key", "n", "center"), ["key"]), "shared")
@@ -171,8 +176,7 @@ def _units(keys: DataFrame, classes: DataFrame) -> DataFrame:
     whole = beside(groups, sizes.where("not apart").select("grp", "n"), ["grp"]).join(classes.select("node", "size"), "node")
     cut = stage(kinds.join(sizes.where("apart").select("grp"), "grp").select("key", "n"), "cut")
     parts = beside(shared, cut, ["key"])
-    columns = lambda way, unit: [F.lit(way).alias("way"), F.col(unit).alias("unit"), "node", "size"]
-    return whole.select(*columns(0, "grp")).union(parts.select(*columns(1, "key")))
+    return whole.select(F.col("grp").alias("unit"), "node", "size").union(parts.select(F.col("key").alias("unit"), "node", "size"))
 
 
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +186,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     classes = stage(firsts.agg(F.min("rid").alias("node"), F.count("*").alias("n"), F.max("n_shingles").alias("size")), "classes")
     nodes = seen.select("rid", "bands").join(classes.select(F.col("node").alias("rid"), "size"), "rid")
     keys = stage(nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node"), "size"), "bands")
-    unit = ["way", "unit"]
+    unit = ["unit"]
     # Members stand by size; those within a power of two make a run of blocks of so many members.
     level = F.floor(F.log2(F.col("size").cast("double"))).cast("int").alias("level")
     members = F.expr(f"greatest(least(shiftright({BLOCK_ITEMS}, level + 1), {BLOCK}), 1)")
@@ -199,7 +203,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("node"), "text")
     sets = _with_sets(texts.join(places, "node"), ["node", "places"]).select("node", "items", F.explode("places").alias("p"))
     other = F.explode(F.sequence("p.since", "p.upto")).alias("o")
-    cells = sets.select("node", "items", "p.way", "p.unit", "p.block", other)
+    cells = sets.select("node", "items", "p.unit", "p.block", other)
     cells = cells.select(*unit, F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"), "block", "node", "items")
     links = stage(_verified(cells, percent), "links")
     linked = stage(connected_components(links), "components")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 COORDS = 128
 
 _M = (1 << 64) - 1

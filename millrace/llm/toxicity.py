@@ -34,7 +34,7 @@ FEATURES = 4_096
 FOLDS = 5
 #: Documents that a feature must be in to be considered.
 LEAST = 3
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
 
 #: Groups of toxic documents that the chain predicts on the way.
 THEMES = 2
@@ -272,8 +272,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             return found
 
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
                 sets = []
                 for text in part.column(2).to_pylist():
                     have: set[int] = set()
