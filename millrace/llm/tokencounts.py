@@ -1,10 +1,13 @@
 """Token counts from flat, unindexed token files by a vectorised separator scan.
 
 A token file is nothing but unsigned 16-bit ids, each document followed by the
-end-of-document id. Counting searches blocks of ids for that id all at once, and
-a prefix scan over the blocks' summaries stitches documents that cross a block or
-a file: each block gets the number of documents that ended before it and where the
-one still open began.
+end-of-document id. Files of any size are read in blocks, the reader's byte ranges,
+by as many tasks as there are blocks. A block is searched for the id's two bytes
+all at once, without knowing where in the file it starts. A prefix scan over the
+blocks' lengths then gives every block its place, which tells real ids from pairs
+of bytes that straddle two; an id cut by a block's edge is put together from the
+edges. A second prefix scan, over the blocks' numbers of ends and last ends,
+stitches the documents that cross a block or a file.
 """
 
 from __future__ import annotations
@@ -13,14 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import new_path, stage
 from millrace.llm.tokens import encoder
 
-#: Ids per block.
-BLOCK = 1 << 20
 END = 49407
 
 
@@ -43,64 +44,91 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ids.select(F.col("ids").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
 
 
-def _scan(spark: SparkSession, path: str, end_id: int, block: int) -> DataFrame:
-    """A row per document end (kind 0) and per block (kind 1), positions within the file."""
+def _scan(spark: SparkSession, path: str, end_id: int) -> DataFrame:
+    """Per block its length in bytes and its edge bytes (kind 1), and where in it the separator's bytes stand (kind 0).
+
+    The line reader deals out byte ranges of files and knows no other way to; lines end
+    at the separator's first byte here, so they are no longer than documents, and
+    put together again they are the block's bytes.
+    """
+    first, second = np.array([end_id], "<u2").view(np.uint8).tolist()
+    names = ["file", "block", "kind", "at", "head", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(key: tuple, kind: int, at: np.ndarray, head: int, tail: int) -> pa.RecordBatch:
+            n = len(at)
+            fixed = [pa.array([key[0]] * n, pa.string()), pa.array(np.full(n, key[1], np.int64)), pa.array(np.full(n, kind, np.int32))]
+            edges = [pa.array(np.full(n, x, np.int32)) for x in (head, tail)]
+            return pa.RecordBatch.from_arrays([*fixed, pa.array(at.astype(np.int64)), *edges], names)
+
+        key, size, head, last = None, 0, 0, b""
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(content.as_buffer(), "<u2")
-                for k, at in enumerate(range(0, max(1, len(ids)), block)):
-                    part = ids[at : at + block]
-                    ends = np.flatnonzero(part == end_id) + at
-                    n = len(ends)
-                    first = np.arange(n) == 0
-                    last = np.concatenate([[-1], ends[:-1]]) if n else ends
-                    kind = np.concatenate([np.zeros(n, np.int32), [1]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([path] * (n + 1)),
-                            pa.array(np.full(n + 1, k, np.int32)),
-                            pa.array(kind),
-                            pa.array(np.append(np.arange(n), n)),  # ends before it in the block, or in all
-                            pa.array(np.append(ends, ends[-1] if n else -1)),
-                            pa.array(np.append(np.where(first, -1, last), len(part))),  # the end before it, or ids in the block
-                        ],
-                        ["file", "block", "kind", "nth", "end", "before"],
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, block int, kind int, nth long, end long, before long")
-
-
-def count_tokens(spark: SparkSession, path: str, end_id: int = END, block: int = BLOCK) -> DataFrame:
+            files, starts, lines = (b.column(k).to_pylist() for k in range(3))
+            at = 0
+            while at < len(lines):
+                upto = at
+                while upto < len(lines) and (files[upto], starts[upto]) == (files[at], starts[at]):
+                    upto += 1
+                if key != (files[at], starts[at]):
+                    if key is not None:
+                        yield rows(key, 1, np.array([size]), head, last[0])
+                    key, size, last = (files[at], starts[at]), 0, b""
+                sep = bytes([first])
+                part = np.frombuffer(last + sep.join(lines[at:upto]) + sep, np.uint8)
+                yield rows(key, 0, np.flatnonzero((part[:-1] == first) & (part[1:] == second)) + size - len(last), 0, 0)
+                if not size:
+                    head = int(part[0])
+                size += len(part) - len(last)
+                last = part[-1:].tobytes()
+                at = upto
+        if key is not None:
+            yield rows(key, 1, np.array([size]), head, last[0])
+
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", chr(first)).text(path)
+    found = lines.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+    return found.mapInArrow(run, "file string, block long, kind int, at long, head int, tail int")
+
+
+def count_tokens(spark: SparkSession, path: str, end_id: int = END) -> DataFrame:
     """One row per document of the files under ``path``, taken in name order as one stream.
 
     Columns: file, ordinal (in the stream), nth_in_file, start (in the stream) and
-    n_tokens, without the end. Ids after the stream's last end are no document.
-    A file's blocks are scanned by a window over that file; files are summed on the
-    driver, which has to list them anyway.
+    n_tokens, without the end. Ids after the stream's last end are no document, and
+    half an id at a file's end is none. Blocks are scanned by a window over their file's
+    blocks; files are summed on the driver, which has to list them anyway.
     """
-    found = stage(_scan(spark, path, end_id, block), "ends")
-    blocks = found.where("kind = 1")
-    spans = blocks.groupBy("file").agg(F.sum("before").alias("ids"), F.sum("nth").alias("ends"), F.max("end").alias("last"))
+    first, second = np.array([end_id], "<u2").view(np.uint8).tolist()
+    found = stage(_scan(spark, path, end_id), "pairs")
+    key = ["file", "block"]
+    in_file = Window.partitionBy("file").orderBy("block")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = found.where("kind = 1").select(
+        *key, "tail", F.coalesce(F.sum("at").over(before), F.lit(0)).alias("base"), F.col("at").alias("size"), F.lead("head").over(in_file).alias("next")
+    )
+    blocks = stage(blocks, "blocks")
+    whole = found.where("kind = 0").join(blocks.select(*key, "base"), key).select(*key, (F.col("base") + F.col("at")).alias("byte"))
+    cut = blocks.where((F.col("tail") == first) & (F.col("next") == second)).select(*key, (F.col("base") + F.col("size") - 1).alias("byte"))
+    ends = whole.union(cut).where("byte % 2 = 0").select(*key, F.expr("byte div 2").alias("end"))
+    in_block = Window.partitionBy(*key).orderBy("end")
+    ends = stage(ends.withColumn("nth", F.row_number().over(in_block) - 1).withColumn("before", F.lag("end").over(in_block)), "ends")
+    counted = blocks.select(*key, "size").join(ends.groupBy(*key).agg(F.count("*").alias("n"), F.max("end").alias("last")), key, "left")
+    counted = counted.withColumn("n", F.coalesce("n", F.lit(0)))
+    # The reader adds a byte to a file that does not end in one that ends lines; half an id counts nothing.
+    spans = counted.groupBy("file").agg(F.expr("sum(size) div 2").alias("ids"), F.sum("n").alias("ends"), F.max("last").alias("last"))
     rows, base, docs, open_ = [], 0, 0, 0
-    for file, ids, ends, last in sorted(spans.collect()):
+    for file, ids, n_ends, last in sorted(spans.collect()):
         rows.append((file, base, docs, open_))
-        if ends:
+        if n_ends:
             open_ = base + last + 1
-        base, docs = base + ids, docs + ends
+        base, docs = base + ids, docs + n_ends
     files = spark.createDataFrame(rows, "file string, file_start long, docs_before long, open_at long")
-    from pyspark.sql import Window
-
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scan = blocks.select(
-        "file", "block", F.coalesce(F.sum("nth").over(earlier), F.lit(0)).alias("ends_before"), F.coalesce(F.max("end").over(earlier), F.lit(-1)).alias("last_end")
+    scan = counted.select(
+        *key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ends_before"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("last_end")
     ).join(files, "file")
-    previous = F.when(F.col("nth") > 0, F.col("before")).otherwise(F.col("last_end"))
+    previous = F.coalesce("before", "last_end")
     start = F.when(previous < 0, F.col("open_at")).otherwise(F.col("file_start") + previous + 1)
     nth = F.col("ends_before") + F.col("nth")
-    return found.where("kind = 0").join(scan, ["file", "block"]).select(
+    return ends.join(scan, key).select(
         "file",
         (F.col("docs_before") + nth).alias("ordinal"),
         nth.alias("nth_in_file"),
