@@ -73,3 +73,41 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sum(r.length for r in out["pack"]) == total
     again = P.run(spark, path)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in again.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in out["pack"])
+
+
+CLASHES = ["rid", "row", "node", "cls", "n", "key", "copies", "comp", "_at", "spans"]
+
+
+def test_stages_on_nulls_repeats_long_texts_and_clashing_names(spark, tmp_path):
+    rng = random.Random(8)
+    long = " ".join("w%d" % rng.randrange(10**6) for _ in range(60_000))
+    near = long.replace(" w", " v", 40)
+    rows = [(1, long, "en", "a"), (2, near, "en", "b"), (3, None, None, None), (4, "", None, "a"), (None, "no id here at all", "en", None), (None, "no id here at all", "en", None)]
+    rows += [(5, "one two three four five six", "en", "b")] * 3 + [(6, "one  two three four five\nsix", None, "b"), (7, "clown one", "en", "a"), (8, "ok then", "en", "a")]
+    rows += [(100 + i, f"{'clown ' if i % 3 == 0 else ''}green stone {i}", "en", "a") for i in range(60)]
+    labels = [(100 + i, None if i % 5 == 0 else 1, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (9999, 0, 1), (5, 1, None)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    full = [(*r, None, *["x"] * len(CLASHES)) for r in rows]
+    path = str(tmp_path)
+    spark.createDataFrame(full, kinds).repartition(3).write.parquet(path + "/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(path + "/labels.parquet")
+    docs, ids = spark.read.parquet(path + "/documents.parquet"), {}
+    for name, step in P.STAGES:
+        out = step(spark, docs, path)
+        if name != "pack":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        ids[name] = Counter(r.doc_id for r in docs.collect())
+    toxic = {7} | {100 + i for i in range(0, 60, 3)}
+    assert ids["toxicity"] == Counter(r[0] for r in rows if r[0] not in toxic)
+    assert ids["exact_dedup"] == Counter({1, 2, 3, None, 5, 8} | {100 + i for i in range(60) if i % 3})
+    assert ids["near_dedup"] == ids["exact_dedup"] - Counter([2])
+    assert set(ids["mix"]) <= set(ids["near_dedup"]) and set(ids["pack"]) == set(ids["mix"])
+
+
+def test_empty_tables(spark, tmp_path):
+    path = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path + "/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(path + "/labels.parquet")
+    assert P.run(spark, path).collect() == []
