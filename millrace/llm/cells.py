@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import partitions
+from millrace.llm.common import give_back, partitions
 
 
 def blocked(rows: DataFrame, blocks: str = "blocks", block: str = "block") -> DataFrame:
@@ -64,7 +64,7 @@ def run_cells(rows: DataFrame, keys: list[str], each: Callable[[list[dict]], lis
             yield made(found)
         if held:
             yield made(each(held))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     dealt = rows.repartition(partitions(rows), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, schema)

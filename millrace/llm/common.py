@@ -7,12 +7,14 @@ staged table survives the loss of any executor.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,13 @@ from pyspark.sql import types as T
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="millrace-")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.cells import run_cells, size_blocks
-from millrace.llm.common import beside, connected_components, global_rank, stage, unstage, without
+from millrace.llm.common import beside, connected_components, give_back, global_rank, stage, unstage, without
 from millrace.llm.shingles import COORDS, band_keys, class_key, shingle_set, sketch
 
 PERCENT = 85
@@ -71,6 +71,7 @@ def _sketched(docs: DataFrame, percent: int) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     ["rid", "doc_id", "n_shingles", "cls", "bands"],
                 )
+        give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "rid long, doc_id long, n_shingles long, cls binary, bands array<long>")
@@ -152,6 +153,7 @@ def _with_sets(rows: DataFrame, keep: list[str]) -> DataFrame:
                 part = b.slice(at, SLICE)
                 items = [shingle_set(t).tobytes() for t in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(items, pa.binary())], [*keep, "items"])
+        give_back()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.select(*keep, F.col("text").cast("binary")).mapInArrow(run, kinds + ", items binary")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import global_rank, stage
+from millrace.llm.common import give_back, global_rank, stage
 from millrace.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -195,6 +195,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 n = 5 + with_ids
                 names_out = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:n]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds)], names_out)
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, out_schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path, stage
+from millrace.llm.common import give_back, new_path, stage
 from millrace.llm.tokens import encoder
 
 END = 49407
@@ -38,6 +38,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             for at in range(0, len(b), 512):
                 texts = [t or b"" for t in b.column(0).slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(enc.encode(texts), pa.binary())], ["ids"])
+        give_back()
 
     end = np.array([end_id], "<u2").tobytes().decode("latin-1")
     ids = docs.select(F.col("text").cast("binary")).mapInArrow(run, "ids binary")

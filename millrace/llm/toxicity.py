@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage, without
+from millrace.llm.common import give_back, stage, without
 
 #: Labelled documents that the models are fitted on, at most.
 SAMPLE = 12_000
@@ -289,6 +289,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                     [part.column(0), part.column(1), *(pa.array(prob[:, k]) for k in range(len(names))), pa.array(prob[:, -1] >= chain.threshold)],
                     ["rid", "doc_id", *names, "rejected"],
                 )
+        give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     return rows.mapInArrow(run, "rid long, doc_id long, " + ", ".join(f"{c} double" for c in names) + ", rejected boolean")

@@ -42,3 +42,13 @@ def test_hot_group(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_groups(docs).collect() == [] and drop_copies(docs).collect() == []
+
+
+def test_very_long_texts_that_differ_in_the_last_byte(spark):
+    long = "word " * 300_000
+    rows = [(1, long + "a"), (2, long + "b"), (3, long.replace(" ", "\n", 9) + "a"), (4, long), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, body string, gid int").repartition(3).cache()
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_groups(docs).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1), 5: (5, 2), 6: (5, 2)}
+    left = drop_copies(docs)
+    assert left.schema == docs.schema and sorted(r.doc_id for r in left.collect()) == [1, 2, 4, 5]

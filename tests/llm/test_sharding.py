@@ -46,3 +46,28 @@ def test_files_hold_every_row(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(str, back.select("doc_id", "text", "lang").collect())) == sorted(map(str, docs.select("doc_id", "text", "lang").collect()))
     assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(5))
+
+
+def test_one_cell_with_most_rows_and_a_very_long_text(spark):
+    rows = [(5, "same", "en", "s", 1)] * 400 + [(i, "t" * (i % 9), "de", "r", 1) for i in range(90)] + [(91, "long " * 400_000, "de", "r", 1)]
+    got = shard(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in sizes.values())
+    assert set(map(len, sizes.values())) <= {len(rows) // 24, len(rows) // 24 + 1}
+    (long,) = [r for r in got if r.doc_id == 91]
+    assert long["size"] == 2_000_008 and long.text_crc32 == zlib.crc32(rows[-1][1].encode())
+
+
+def test_filters_skip_files(spark, tmp_path):
+    """A reader that filters on one dimension skips shards, where its values lie in cells apart."""
+    rows = [(i, "t" * (10 if i % 2 else 900), "en" if i % 3 else "de", "s%d" % (i % 4), 1) for i in range(2000)]
+    write_shards(spark.createDataFrame(rows, SCHEMA).repartition(4), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).select("shard", "source", "lang", "doc_id").collect()
+    for column, most in (("source", 12), ("lang", 18)):
+        needed = {}
+        for r in back:
+            needed.setdefault(r[column], set()).add(r["shard"])
+        assert sum(map(len, needed.values())) / len(needed) <= most
+    assert sum(max(r.doc_id for r in back if r["shard"] == k) - min(r.doc_id for r in back if r["shard"] == k) < 1500 for k in range(24)) >= 8
