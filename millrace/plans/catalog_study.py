@@ -186,10 +186,10 @@ def study_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 @query("research_document")
 def research_document(spark: SparkSession, d: str) -> DataFrame:
     """The research document, a row with its text."""
-    return documents.research(study_parts(spark, d), "1995-01-01").select(F.to_json(F.struct("*")).alias("document"))
+    return documents.research(study_parts(spark, d), "1995-01-01").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
 
 
 @query("sweep_document")
 def sweep_document(spark: SparkSession, d: str) -> DataFrame:
     """The sweep document, a row with its text."""
-    return documents.threshold_sweep(study_parts(spark, d)).select(F.to_json(F.struct("*")).alias("document"))
+    return documents.threshold_sweep(study_parts(spark, d)).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))

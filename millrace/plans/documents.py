@@ -59,6 +59,14 @@ def multiple(target: str = "target") -> Column:
     return reduce(lambda out, k: out.when(F.col(target) == k, names[k]), names, F.when(F.lit(False), ""))
 
 
+# Names that the documents write otherwise than the tables.
+PUBLISHED = {"beta_60": "beta_spy_60", targets.breach(1.2): "breach_1.2"}
+
+
+def published(c: str) -> Column:
+    return reduce(lambda out, k: F.when(F.col(c) == k, PUBLISHED[k]).otherwise(out), PUBLISHED, F.col(c)).alias(c)
+
+
 def _document(**parts: DataFrame | Column) -> DataFrame:
     """One row with a column per part."""
     frames = [f.select(F.col("v").alias(k)) for k, f in parts.items() if isinstance(f, DataFrame)]
@@ -81,7 +89,7 @@ def research(parts: dict[str, DataFrame], start: str, horizon: int = targets.HOR
         breach_rates=nested(rates.union(tails), ["symbol", "key"], c("x")),
         vol_tercile=nested(parts["cutoffs"], ["symbol"], c("vol_hi_tercile")),
         cutoffs=nested(cuts, ["symbol", "key"], c("x")),
-        ic_table=nested(parts["ic"], ["target", "symbol", "signal"], ic),
+        ic_table=nested(parts["ic"].withColumns({k: published(k) for k in ("target", "signal")}), ["target", "symbol", "signal"], ic),
         forest=nested(parts["forest"].withColumn("target", name), ["symbol", "condition", "target"], F.when(c("diff").isNotNull(), side)),
         n_weekly_obs=nested(parts["weeks"], ["symbol"], c("n_weeks")),
     )
@@ -101,7 +109,7 @@ def threshold_sweep(parts: dict[str, DataFrame]) -> DataFrame:
     entry = F.struct(
         F.round("cut", 4).alias("cutoff"), F.round((F.lit(1.0) - c("q")) * 100.0, 0).alias("top_pct"), F.round(c("q") * 100.0, 0).alias("bottom_pct"), "top", "bottom", "diff"
     )
-    named = cells.withColumn("mult", multiple()).withColumn("pct", F.round(c("q") * 100.0, 0).cast("int"))
+    named = cells.withColumn("signal", published("signal")).withColumn("mult", multiple()).withColumn("pct", F.round(c("q") * 100.0, 0).cast("int"))
     return _document(
         unconditional=nested(parts["unconditional"].withColumn("mult", multiple()), ["symbol", "mult"], mean),
         sweep=nested(named, ["symbol", "signal", "mult", "pct"], entry),

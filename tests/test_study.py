@@ -1,10 +1,13 @@
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import bootstrap, metrics, study
+from millrace.plans import documents
 
 
 def weeks(n):
@@ -45,6 +48,36 @@ def test_intervals_per_cell(spark):
     assert diff["A"].diff == pytest.approx(t[s > 0].mean() - t[s <= 0].mean()) and diff["A"].low < diff["A"].diff < diff["A"].high and diff["B"].diff is None
 
 
+def test_intervals_of_any_statistic(spark):
+    x = np.random.default_rng(6).normal(size=40)
+    rows = [("A", w, float(v)) for w, v in zip(weeks(40), x)] + [("B", w, 1.0) for w in weeks(4)]
+    df = spark.createDataFrame(rows, "symbol string, week date, t double").repartition(3)
+    got = {r.symbol: r for r in bootstrap.statistic_intervals(df, ["symbol"], np.median, draws=300).collect()}
+    starts = np.random.default_rng(7).integers(0, 31, size=(300, 4))
+    drawn = [np.median(np.concatenate([x[s : s + 10] for s in row])[:40]) for row in starts]
+    assert (got["A"].low, got["A"].high) == pytest.approx(tuple(np.quantile(drawn, [0.025, 0.975]))) and (got["B"].n, got["B"].low) == (4, None)
+
+
+def test_documents_nest_by_name(spark):
+    rows = [("SPY", "beta_60", 10, 0.5), ("SPY", "rsi14", 20, None), ("QQQ", "rsi14", 10, 1.25)]
+    df = spark.createDataFrame(rows, "symbol string, signal string, q int, x double").repartition(3)
+    df = df.withColumn("signal", documents.published("signal"))
+    (r,) = documents.nested(df, ["symbol", "signal", "q"], F.struct("x")).select(F.to_json("v").alias("j")).collect()
+    assert json.loads(r.j) == {"QQQ": {"rsi14": {"10": {"x": 1.25}}}, "SPY": {"beta_spy_60": {"10": {"x": 0.5}}, "rsi14": {"20": {}}}}
+
+
+def test_conditions_follow_their_table(spark):
+    names = [n for n, *_ in study.CONDITIONS]
+    assert len(names) == len(set(names)) == 13 and {x for *_, x in study.CONDITIONS if isinstance(x, str)} == {n for n, *_ in study.CUTOFFS}
+    rows = [("A", w, float(k), k / 60, (k - 30) / 100, (k - 20) / 50, -k / 200, float(k)) for k, w in enumerate(weeks(60))]
+    df = spark.createDataFrame(rows, "symbol string, week date, rsi14 double, sector_corr_60 double, trend_84d double, px_vs_ma200 double, deep_dd_60 double, vol_own double")
+    on = {n: 0 for n in names}
+    for r in study.conditions(df).collect():
+        on[r.condition] += r.on
+    assert on["rsi14_lt_40"] == 40 and on["sector_corr_lt_0.45"] == 27 and on["trend_84d_lt_0"] == 30 and on["px_below_ma200"] == 20 and on["deep_dd_60_lt_-0.12"] == 36
+    assert on["vol_top_tercile"] == on["vol_hi_tercile"] == 20 and on["vol_lo_tercile"] == on["rsi14_lo_tercile"] == 20 and on["trend_84d_top_decile"] == 6
+
+
 def test_null_signals_fall_in_the_bottom_bucket(spark):
     rows = [("A", w, None if k % 2 else 1.0, float(k)) for k, w in enumerate(weeks(60))]
     df = spark.createDataFrame(rows, "symbol string, week date, sig double, breach_10 double")
