@@ -1,8 +1,8 @@
 """DuckDB SQL of this package's queries, and of what SQL can say about the others.
 
-``op4``, ``op5``, ``op6``, ``op7`` and ``op9`` are given in full. Of ``op2`` and ``op10`` SQL gives
-the part that no model or free choice decides, which ``pii_base_spans`` and
-``mixing_targets`` register.
+``op4``, ``op5``, ``op6``, ``op7``, ``op9``, ``op11`` and ``op13`` are given in full. Of ``op2``, ``op10``
+and ``op12`` SQL gives the part that no model, free choice or eigenvector decides, which
+``pii_base_spans``, ``mixing_targets`` and ``whitening_deviations`` register.
 """
 
 from __future__ import annotations
@@ -173,12 +173,99 @@ WITH RECURSIVE words AS MATERIALIZED (
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp ON comp.node = doc_id
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda c: floor(1024e0 * CAST(c AS DOUBLE))) AS x FROM embeddings WHERE {_FINITE}
+), pairs AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS k FROM pairs) WHERE k <= 10
+"""
+
+# How far each row lies from the mean, in whole numbers, and that the whitened covariance is the identity.
+DEVIATIONS_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024e0 * CAST(c AS DOUBLE)) AS BIGINT) + 100000) AS x FROM embeddings WHERE {_FINITE}
+), cells AS (
+  SELECT unnest(x) AS c, generate_subscripts(x, 1) AS d FROM v
+), total AS MATERIALIZED (
+  SELECT list(s ORDER BY d) AS s, max(n) AS n FROM (SELECT d, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM cells GROUP BY d)
+)
+SELECT vec_id, CAST(k AS INTEGER) AS component, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation, true AS identity
+FROM v CROSS JOIN total CROSS JOIN range(1, 9) r(k) WHERE k <= len(x)
+"""
+
+
+def _later(p: str, cost: str, letter: str) -> str:
+    """A fold's best so far, cost in eight digits before its audit, after one more edit."""
+    return f"(lpad(CAST(CAST(left({p}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({p}, 9) || {letter})"
+
+
+_OPENED = f"SELECT *, least(u, {', '.join(_later(p, '3', chr(39) + 'I' + chr(39)) for p in 'esa')}) AS ou, least(a, {_later('u', '3', chr(39) + 'I' + chr(39))}) AS oa FROM fold"
+_STAYS = "CASE WHEN coalesce(fault, '') NOT IN ('blank', 'duplicate') THEN {} END"
+_EXTRA = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+
+
+def _spoken(p: str, initial: str) -> str:
+    return _STAYS.format(_later(p, f"({_EXTRA} + CASE WHEN initial = '{initial}' THEN 0 ELSE 3 END)", f"CASE WHEN initial = '{initial}' THEN 'K' ELSE 'R' END"))
+
+
+_GONE = {p: _later(p, "4", "'D'") for p in ("e", "s", "ou", "oa")}
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_HASH = "xor(list_reduce([4294967295]::BIGINT[] || list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC.split("), crc")[0]}
+), hashed AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_HASH} % 20 AS how FROM conversations CROSS JOIN tab
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM hashed CROSS JOIN range(2) r(copy) WHERE how <> 0 AND (copy = 0 OR how = 3)
+), placed AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, {_WHITE}) AS shown, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged
+), marked AS MATERIALIZED (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM placed
+), fold AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '00000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM conversations
+  UNION ALL
+  SELECT o.conv_id, m.i, {_GONE['e']}, least({_GONE['s']}, CASE WHEN initial = 's' THEN {_STAYS.format(_later('e', f'({_EXTRA})', "'K'"))} END),
+    least({_GONE['ou']}, {', '.join(_spoken(p, 'u') for p in ('e', 's', 'oa'))}), least({_GONE['oa']}, {_spoken('ou', 'a')})
+  FROM ({_OPENED}) o JOIN marked m ON m.conv_id IS NOT DISTINCT FROM o.conv_id AND m.i = o.i + 1
+), best AS (
+  SELECT conv_id, i AS n, least(e, oa) AS b FROM ({_OPENED}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), edits AS (
+  SELECT conv_id, n, CAST(left(b, 8) AS BIGINT) AS cost, substr(b, 9) AS audit FROM best
+), letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS spot FROM edits WHERE audit <> ''
+), numbered AS (
+  SELECT *, CASE WHEN letter = 'I' THEN 0 ELSE count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY conv_id ORDER BY spot) END AS i FROM letters
+), kept AS (
+  SELECT n.conv_id, letter, role, coalesce(CASE WHEN letter = 'I' THEN '' ELSE text END, '') AS text, row_number() OVER (PARTITION BY n.conv_id ORDER BY spot) AS place,
+    max(CASE WHEN letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS shift
+  FROM numbered n LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM n.conv_id AND m.i = n.i WHERE letter <> 'D'
+), texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place + shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS repaired FROM kept GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, {', '.join(f"count(*) FILTER (WHERE fault = '{f}') AS {f}" for f in ('blank', 'duplicate', 'truncated'))},
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id
+)
+SELECT e.conv_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM edits e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 SQL = {
     "op4_int8_embedding_dedup": OP4_SQL,
     "op5_hilbert_sharding": OP5_SQL,
     "op6_radix_exact_dedup": OP6_SQL,
     "op7_suffix_line_dedup": OP7_SQL,
     "op9_fast_similarity_dedup": OP9_SQL,
+    "op11_exact_top_k": OP11_SQL,
+    "op13_conversation_repair": OP13_SQL,
     "pii_base_spans": PII_BASE_SQL,
+    "whitening_deviations": DEVIATIONS_SQL,
     "mixing_targets": TARGETS_SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm import embeddings, exact, lines, mixing, neardup, packing, pii, sharding, tokencounts, toxicity
+from millrace.llm import conversations, embeddings, exact, lines, mixing, neardup, packing, pii, search, sharding, tokencounts, toxicity, whitening
 from millrace.llm.common import read
 from millrace.llm.oracles import SQL
 
@@ -60,6 +60,21 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("rid")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.quantised(read(spark, sf_dir, "embeddings"))
+    return search.top_k(rows, F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(read(spark, sf_dir, "embeddings"))
+    return rows.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(read(spark, sf_dir, "conversations"))
+    return conversations.repair(rows).drop("repaired")
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 finds by the base rules alone, which SQL can say."""
     kinds = [f"n_{k}" for k in pii.KINDS]
@@ -74,6 +89,12 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", (F.round("target", 4) + F.lit(0.0)).alias("target"), near)
 
 
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op12's whole numbers, and whether the whitened covariance is the identity to four digits."""
+    rows = op12_embedding_whitening(spark, sf_dir)
+    return rows.select("vec_id", "component", "n", "deviation", (F.col("identity_error") <= 1e-4).alias("identity"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -86,7 +107,11 @@ def queries() -> dict[str, Query]:
         "op8_toxicity_chain": op8_toxicity_chain,
         "op9_fast_similarity_dedup": op9_fast_similarity_dedup,
         "op10_subset_sum_mixing": op10_subset_sum_mixing,
+        "op11_exact_top_k": op11_exact_top_k,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_conversation_repair": op13_conversation_repair,
         "pii_base_spans": pii_base_spans,
+        "whitening_deviations": whitening_deviations,
         "mixing_targets": mixing_targets,
     }
 
