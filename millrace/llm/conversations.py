@@ -31,7 +31,6 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 REROLE, DELETE, INSERT, UNFINISHED = 3, 4, 3, 3
 STATES = ("none", "system", "user", "assistant")
 _BEST = "struct<cost:bigint,audit:string>"
-_ALL = "struct<" + ",".join(f"{s}:{_BEST}" for s in STATES) + ">"
 
 #: Faults that a row is reported with.
 FAULTS = ("blank", "duplicate", "truncated")
@@ -65,7 +64,7 @@ def _then(p: Column, cost: Column | int, letter: Column | str) -> Column:
 
 
 def _struct(none: Column, system: Column, user: Column, assistant: Column) -> Column:
-    return F.struct(*[c.alias(s) for c, s in zip((none, system, user, assistant), STATES)]).cast(_ALL)
+    return F.struct(*[c.alias(s) for c, s in zip((none, system, user, assistant), STATES)])
 
 
 def _bound(value: Column, use: object) -> Column:
@@ -108,7 +107,7 @@ def _folded(rows: Column, state: str) -> Column:
 
 def _ended(at: Column) -> Column:
     """The best (cost, audit) of roles that may end."""
-    return _bound(_opened(at), lambda p: F.least(p.getField("none"), p.getField("assistant")))
+    return _bound(at, lambda last: _bound(_opened(last), lambda p: F.least(p.getField("none"), p.getField("assistant"))))
 
 
 def _illegal(initials: Column) -> Column:
@@ -119,19 +118,24 @@ def _illegal(initials: Column) -> Column:
 
 def _repaired(rows: Column, audit: Column) -> Column:
     """The rows (role, text) that the audit leaves."""
-    letters, gaps = F.regexp_extract_all(audit, F.lit("([DKR])"), F.lit(1)), F.split(audit, "[DKR]")
     turn = lambda letter, role, text: F.struct(letter.alias("letter"), role.alias("role"), text.alias("text"))
-    inserted = lambda k: F.array_repeat(turn(F.lit("I"), F.lit(""), F.lit("")), F.length(F.get(gaps, k)))
-    own = lambda k: F.filter(F.array(turn(F.get(letters, k), F.get(rows, k).getField("role"), F.get(rows, k).getField("text"))), lambda t: t["letter"] != "D")
-    out = F.flatten(F.transform(F.sequence(F.lit(0), F.size(rows)), lambda k: F.concat(inserted(k), F.when(k < F.size(rows), own(k)).otherwise(F.array_repeat(turn(F.lit(""), F.lit(""), F.lit("")), F.lit(0))))))
-    first = F.get(out, F.lit(0))
-    shift = F.coalesce(((first["letter"] == "K") & (F.substring(first["role"], 1, 1) == "s")).cast("int"), F.lit(0))
-
-    def named(t: Column, k: Column) -> Column:
-        by_place = F.when((k + shift) % 2 == 0, "user").otherwise("assistant")
-        return F.struct(F.when(t["letter"] == "K", t["role"]).otherwise(by_place).alias("role"), t["text"].alias("text"))
-
-    return F.transform(out, named)
+    # A letter for each row, and the insertions before each row and after the last.
+    split = F.struct(F.regexp_extract_all(audit, F.lit("([DKR])"), F.lit(1)).alias("letters"), F.split(audit, "[DKR]").alias("gaps"))
+
+    def around(parts: Column, k: Column) -> Column:
+        inserted = F.array_repeat(turn(F.lit("I"), F.lit(""), F.lit("")), F.length(F.get(parts["gaps"], k)))
+        own = F.array(turn(F.get(parts["letters"], k), F.get(rows, k)["role"], F.get(rows, k)["text"]))
+        return F.concat(inserted, F.filter(own, lambda t: t["letter"] != "D"))
+
+    def named(out: Column) -> Column:
+        first = F.get(out, F.lit(0))
+        shift = F.coalesce(((first["letter"] == "K") & (F.substring(first["role"], 1, 1) == "s")).cast("int"), F.lit(0))
+        by_place = lambda k: F.when((k + shift) % 2 == 0, "user").otherwise("assistant")
+        return F.transform(out, lambda t, k: F.struct(F.when(t["letter"] == "K", t["role"]).otherwise(by_place(k)).alias("role"), t["text"].alias("text")))
+
+    # Beyond the last row the letter is null, and a filter drops what is not known to differ.
+    out = _bound(split, lambda parts: F.flatten(F.transform(F.sequence(F.lit(0), F.size(rows)), lambda k: around(parts, k))))
+    return _bound(out, named)
 
 
 def _reported(rows: DataFrame) -> DataFrame:
