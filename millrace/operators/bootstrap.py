@@ -1,13 +1,21 @@
-"""Moving-block bootstrap: exact draws per cell in numpy, and a relational form."""
+"""Moving-block bootstrap.
+
+Means and differences of means need a cell's running sums only: a block that is drawn
+adds the difference of two of them, so a draw costs a difference per block. The sums are
+columns; only they, an array per cell, meet the generator that gives the blocks' starts.
+Rank correlations and other statistics see the drawn rows themselves, a cell at a time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import busy_tasks
 
@@ -75,40 +83,75 @@ def ic_interval(pairs: DataFrame, keys: list[str], block: int = 8, draws: int =
     return _per_cell(pairs.where("s is not null and t is not null"), keys, each, "n long, ic double, low double, high double")
 
 
-def mean_interval(rows: DataFrame, keys: list[str], block: int = 8, draws: int = 1000, seed: int = 11, alpha: float = 0.10, least: int = 15) -> DataFrame:
-    """Mean of t per cell with its interval; blocks run over the cell's own rows."""
+def running(rows: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """(keys, n, an array per sum): running sums of each cell in the order of its weeks, from 0."""
+    w = Window.partitionBy(*keys).orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*keys, "week", *[x.cast("double").alias(c) for c, x in sums.items()]).repartition(busy_tasks(rows), *keys)
+    summed = rows.select(*keys, "week", *[F.sum(c).over(w).alias(c) for c in sums])
+    cells = summed.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("week", *sums))).alias("_runs"))
+    upto = lambda c: F.concat(F.array(F.lit(0.0)), F.transform("_runs", lambda x: x[c])).alias(c)
+    return cells.select(*keys, "n", *[upto(c) for c in sums])
+
+
+#: Block starts that are drawn at a time.
+STARTS = 1 << 21
+
+
+def drawn_sums(runs: list[np.ndarray], block: int, draws: int, seed: int) -> np.ndarray:
+    """(draws x sums): what each draw of n rows adds up to, a difference of running sums per block, the last block cut."""
+    n = len(runs[0]) - 1
+    k, rng, out = -(-n // block), np.random.default_rng(seed), []
+    cut = n - (k - 1) * block
+    each = max(1, STARTS // k)
+    for at in range(0, draws, each):
+        starts = rng.integers(0, max(1, n - block + 1), size=(min(each, draws - at), k))  # one stream, whatever the pieces
+        ends = starts + block
+        ends[:, -1] = starts[:, -1] + cut
+        out.append(np.stack([(r[ends] - r[starts]).sum(axis=1) for r in runs], axis=1))
+    return np.concatenate(out)
 
-    def each(part: pd.DataFrame) -> dict:
-        t = part["t"].to_numpy(float)
-        if len(t) < least:
-            return {"n": len(t)}
-        low, high = _interval(t[block_indices(len(t), block, draws, seed)].mean(axis=1), alpha)
-        return {"n": len(t), "mean": float(t.mean()), "low": low, "high": high}
 
-    return _per_cell(rows.where("t is not null"), keys, each, "n long, mean double, low double, high double")
+def _with_intervals(cells: DataFrame, sums: list[str], enough: str, statistic: Callable[[np.ndarray, int], np.ndarray], block: int, draws: int, seed: int, alpha: float) -> DataFrame:
+    """Add ``low`` and ``high`` of a statistic of a draw's sums for cells where ``enough`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple] = []
+            lists = [b.column(c) for c in sums]
+            ends, values = [x.offsets.to_numpy() for x in lists], [x.flatten().to_numpy() for x in lists]
+            for k, ok in enumerate(b.column(enough).to_pylist()):
+                runs = [v[e[k] - e[0] : e[k + 1] - e[0]] for e, v in zip(ends, values)]
+                found.append(_interval(statistic(drawn_sums(runs, block, draws, seed), len(runs[0]) - 1), alpha) if ok else (None, None))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], [*b.schema.names, "low", "high"])
+
+    return cells.mapInArrow(run, T.StructType([*cells.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("low", "high"))]))
+
+
+def mean_interval(rows: DataFrame, keys: list[str], block: int = 8, draws: int = 1000, seed: int = 11, alpha: float = 0.10, least: int = 15) -> DataFrame:
+    """Mean of t per cell with its interval; blocks run over the cell's own rows."""
+    cells = running(rows.where("t is not null"), keys, t=F.col("t")).withColumn("_enough", F.col("n") >= least)
+    found = _with_intervals(cells, ["t"], "_enough", lambda s, n: s[:, 0] / n, block, draws, seed, alpha)
+    return found.select(*keys, "n", F.when(F.col("_enough"), F.element_at("t", -1) / F.col("n")).alias("mean"), "low", "high")
 
 
 def difference_interval(
     rows: DataFrame, keys: list[str], block: int = 8, draws: int = 1000, seed: int = 11, alpha: float = 0.10, least: int = 10, least_drawn: int = 3
 ) -> DataFrame:
-    """Mean t where on less where off per cell, resampled in pairs along the calendar."""
-
-    def each(part: pd.DataFrame) -> dict:
-        t, on = part["t"].to_numpy(float), part["on"].to_numpy(bool)
-        out = {"n_on": int(on.sum()), "n_off": int((~on).sum())}
-        if min(out.values()) < least:
-            return out
-        ix = block_indices(len(t), block, draws, seed)
-        tt, oo = t[ix], on[ix]
-        n_on = oo.sum(axis=1)
-        n_off = oo.shape[1] - n_on
-        ok = (n_on >= least_drawn) & (n_off >= least_drawn)
-        with np.errstate(all="ignore"):
-            diff = (tt * oo).sum(axis=1) / n_on - (tt * ~oo).sum(axis=1) / n_off
-        low, high = _interval(diff[ok], alpha)
-        return out | {"diff": float(t[on].mean() - t[~on].mean()), "low": low, "high": high}
-
-    return _per_cell(rows.where("t is not null"), keys, each, "n_on long, n_off long, diff double, low double, high double")
+    """Mean t where on less mean where off per cell, resampled in pairs along the calendar."""
+    on, t = F.col("on"), F.col("t")
+    cells = running(rows.where("t is not null"), keys, t=t, a=F.when(on, t).otherwise(0.0), k=on)
+    cells = cells.withColumn("n_on", F.element_at("k", -1).cast("long")).withColumn("n_off", F.col("n") - F.col("n_on"))
+    cells = cells.withColumn("_enough", (F.col("n_on") >= least) & (F.col("n_off") >= least))
+
+    def apart(s: np.ndarray, n: int) -> np.ndarray:
+        total, above, many = s.T
+        ok = (many >= least_drawn) & (n - many >= least_drawn)
+        return above[ok] / many[ok] - (total - above)[ok] / (n - many[ok])
+
+    found = _with_intervals(cells, ["t", "a", "k"], "_enough", apart, block, draws, seed, alpha)
+    above = F.element_at("a", -1)
+    point = F.when(F.col("_enough"), above / F.col("n_on") - (F.element_at("t", -1) - above) / F.col("n_off"))
+    return found.select(*keys, "n_on", "n_off", point.alias("diff"), "low", "high")
 
 
 def statistic_intervals(

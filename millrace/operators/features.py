@@ -6,9 +6,10 @@ and one sort. Series are pre-aggregated to a row a day before they get here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.frames import ADDED, with_frame_ranks
 from millrace.functions.windows import change, flag, ordered, rolling
 from millrace.operators.calendar import on_calendar
 
@@ -54,22 +55,17 @@ def with_drawdown(px: DataFrame, n: int = TRADING_DAYS, least: int = 60, deepest
 
 def with_return_percentile(px: DataFrame, k: int = 21, n: int = 756, least: int = 252) -> DataFrame:
     """Average-rank percentile of the k-day return within its last n rows."""
-    rows = px.withColumn(f"ret{k}", change(F.col("close"), ordered(), k))
-    r = F.col(f"ret{k}")
-    rows = rows.withColumn("_l", F.collect_list(r).over(ordered().rowsBetween(-(n - 1), 0)))
-    below, same = F.size(F.filter("_l", lambda x: x < r)), F.size(F.filter("_l", lambda x: x == r))
-    rank = (below + (same + 1) / 2.0) / F.size("_l")
-    return rows.withColumn(f"ret{k}_pctile", F.when(r.isNotNull() & (F.size("_l") >= least), rank)).drop("_l")
+    rows = with_frame_ranks(px.withColumn(f"ret{k}", change(F.col("close"), ordered(), k)), f"ret{k}", n)
+    rank = (F.col("_below") + (F.col("_same") + 1) / 2.0) / F.col("_known")
+    return rows.withColumn(f"ret{k}_pctile", F.when(F.col("_known") >= least, rank)).drop(*ADDED)
 
 
-def with_share_below(rows: DataFrame, value: str, name: str, n: int = TRADING_DAYS, least: int = 100, w: WindowSpec | None = None) -> DataFrame:
+def with_share_below(rows: DataFrame, value: str, name: str, n: int = TRADING_DAYS, least: int = 100, by: str = "symbol") -> DataFrame:
     """Share of the last n rows strictly below the current value; null rows count in the denominator."""
-    frame = (w or ordered()).rowsBetween(-(n - 1), 0)
-    v = F.col(value)
-    rows = rows.withColumn("_l", F.collect_list(v).over(frame)).withColumn("_n", F.count("*").over(frame))
-    share = F.size(F.filter("_l", lambda x: x < v)) / F.col("_n")
+    ranked = with_frame_ranks(rows, value, n, by)
     # A current null is below nothing.
-    return rows.withColumn(name, F.when(F.size("_l") >= least, F.coalesce(share, F.lit(0.0)))).drop("_l", "_n")
+    share = F.coalesce(F.col("_below"), F.lit(0)) / F.col("_rows")
+    return ranked.withColumn(name, F.when(F.col("_known") >= least, share)).drop(*ADDED)
 
 
 def sector_returns(sectors: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import operator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.windows import flag
 from millrace.operators.calendar import resample_last
+from millrace.operators.order import quantiles, with_average_ranks
+from millrace.session import staged
 
 SIGNALS = ("rsi14", "sector_corr_60", "trend_84d", "px_vs_ma200", "absorption_shift", "vol_own", "vol_rank_252", "vrp_proxy", "beta_60")
 QUANTILES = tuple(k / 10 for k in range(1, 10))
@@ -35,17 +37,10 @@ def long(panel: DataFrame, columns: list[str], name: str, value: str) -> DataFra
     return panel.unpivot(["symbol", "week"], columns, name, value)
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Rank by value within keys; equal values share the mean of their ranks."""
-    at = Window.partitionBy(*keys).orderBy(value)
-    same = Window.partitionBy(*keys, value)
-    return rows.withColumn(name, F.rank().over(at) + (F.count("*").over(same) - 1) / 2.0)
-
-
 def spearman(pairs: DataFrame, keys: list[str], least: int = LEAST_WEEKS) -> DataFrame:
     """(keys, n, ic) of pairs (s, t): correlation of average ranks, null for a constant side."""
-    rows = pairs.where("s is not null and t is not null")
-    rows = average_ranks(average_ranks(rows, keys, "s", "rs"), keys, "t", "rt")
+    rows = staged(pairs.where("s is not null and t is not null").select(*keys, "s", "t"), "pairs")
+    rows = with_average_ranks(with_average_ranks(rows, keys, "s", "rs"), keys, "t", "rt")
     sd = F.stddev_pop("rs") * F.stddev_pop("rt")
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("rs", "rt").alias("_c"), sd.alias("_s"))
     return out.where(F.col("n") >= least).select(*keys, "n", F.try_divide("_c", F.nullif("_s", F.lit(0.0))).alias("ic"))
@@ -54,17 +49,14 @@ def spearman(pairs: DataFrame, keys: list[str], least: int = LEAST_WEEKS) -> Dat
 def breach_rates(weeks: DataFrame, breaches: list[str]) -> DataFrame:
     """(symbol, target, rate in %, median upside in %)."""
     rates = long(weeks, breaches, "target", "t").groupBy("symbol", "target").agg((F.avg("t") * 100.0).alias("rate"))
-    tails = weeks.groupBy("symbol").agg((F.median("upside_tail") * 100.0).alias("median_tail"))
+    tails = quantiles(weeks, ["symbol"], "upside_tail", (0.5,)).select("symbol", (F.get("quantiles", F.lit(0)) * 100.0).alias("median_tail"))
     return rates.join(tails, "symbol")
 
 
 def cutoffs(weeks: DataFrame, columns: list[str], probabilities: tuple[float, ...]) -> DataFrame:
-    """(symbol, signal, q, cut): exact linear quantiles of each signal."""
-    rows = long(weeks, columns, "signal", "s").groupBy("symbol", "signal")
-    found = rows.agg(F.percentile("s", F.array(*map(F.lit, probabilities))).alias("_c"))
-    # A signal without values has null cutoffs.
-    found = found.withColumn("_c", F.coalesce("_c", F.array_repeat(F.lit(None).cast("double"), len(probabilities))))
-    grid = F.posexplode("_c").alias("_k", "cut")
+    """(symbol, signal, q, cut): exact linear quantiles of each signal; null for a signal without values."""
+    found = quantiles(long(weeks, columns, "signal", "s"), ["symbol", "signal"], "s", probabilities)
+    grid = F.posexplode("quantiles").alias("_k", "cut")
     qs = F.array(*map(F.lit, probabilities))
     return found.select("symbol", "signal", grid).select("symbol", "signal", F.element_at(qs, F.col("_k") + 1).alias("q"), "cut")
 
@@ -87,7 +79,10 @@ COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator
 
 def named_cutoffs(weeks: DataFrame) -> DataFrame:
     """(symbol, a column per cutoff), rounded as they are reported."""
-    return weeks.groupBy("symbol").agg(*[F.round(F.percentile(signal, F.lit(q)), digits).alias(name) for name, signal, q, digits in CUTOFFS])
+    probabilities = tuple(sorted({q for _, _, q, _ in CUTOFFS}))
+    found = quantiles(long(weeks, sorted({s for _, s, _, _ in CUTOFFS}), "signal", "s"), ["symbol", "signal"], "s", probabilities)
+    at = lambda signal, q: F.max(F.when(F.col("signal") == signal, F.get("quantiles", F.lit(probabilities.index(q)))))
+    return found.groupBy("symbol").agg(*[F.round(at(signal, q), digits).alias(name) for name, signal, q, digits in CUTOFFS])
 
 
 def conditions(weeks: DataFrame) -> DataFrame:

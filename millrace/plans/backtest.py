@@ -17,7 +17,7 @@ from millrace.functions.quotes import FEES
 from millrace.operators import features, gates, ledger, metrics, selection, study, tape, targets
 from millrace.operators.calendar import as_of
 from millrace.plans import documents
-from millrace.session import session
+from millrace.session import session, staged
 from millrace.sources import market, sinks
 
 SYMBOLS = ("SPY", "QQQ", "IWM")
@@ -41,7 +41,7 @@ def run_backtests(
     start: dt.date | None = None, end: dt.date | None = None,
 ) -> DataFrame:
     """The tagged log of every symbol's and strategy's run, over the sessions from ``start`` to ``end``."""
-    chain = _all([market.option_chain(spark, root, s) for s in symbols]).withColumnRenamed("underlying_price", "spot")
+    chain = market.option_chains(spark, root, symbols).withColumnRenamed("underlying_price", "spot")
     rates = market.treasury_rates(spark, root)
     px, vol = _series(spark, root, symbols)
     panel = features.signal_panel(px, market.sector_series(spark, root), vol, market.eigen_features(spark, root))
@@ -60,8 +60,8 @@ def run_study(spark: SparkSession, root: str, symbols: tuple[str, ...] = SYMBOLS
     """Rank correlations, breach rates, the forest and the sweep, each a row per cell, and the two documents made of them."""
     px, vol = _series(spark, root, symbols)
     panel = features.research_panel(px, market.sector_series(spark, root), vol, market.eigen_features(spark, root), symbols[0])
-    goals = study.weekly(targets.target_panel(px, vol, symbols[0]), SINCE).cache()
-    signals = study.weekly(panel, SINCE).cache()
+    goals = staged(study.weekly(targets.target_panel(px, vol, symbols[0]), SINCE), "goals")
+    signals = staged(study.weekly(panel, SINCE), "signals")
     parts = documents.study_parts(signals, goals, symbols[0])
     return parts | {"research": documents.research(parts, SINCE), "threshold_sweep": documents.threshold_sweep(parts)}
 

@@ -20,8 +20,8 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def write_chains(spark: SparkSession, d: str, root: str) -> list[str]:
-    """Monthly snapshot files of every symbol under ``root``; returns the symbols, of which there are a few."""
+def write_chains(spark: SparkSession, d: str, root: str) -> None:
+    """Monthly snapshot files of every symbol under ``root``."""
     late = F.to_utc_timestamp(F.col("session").cast("timestamp") + F.expr("interval 15 hours 45 minutes"), market.ZONE)
     rows = S.chain(spark, d).select(
         late.alias("ts"), "expiration", "strike", "option_type", "bid", "ask", "open_interest", F.col("spot").alias("underlying_price"),
@@ -30,21 +30,19 @@ def write_chains(spark: SparkSession, d: str, root: str) -> list[str]:
     rows.repartition("sym", "ym").write.partitionBy("sym", "ym").parquet(f"{root}/parts")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
     for sym in fs.listStatus(path(f"{root}/parts")):
         if not sym.isDirectory():
             continue
         name = sym.getPath().getName().split("=", 1)[1]
-        found.append(name.upper())
         fs.mkdirs(path(f"{root}/options/{name}"))
         for month in fs.listStatus(sym.getPath()):
             fs.rename(month.getPath(), path(f"{root}/options/{name}/chain_{month.getPath().getName().split('=', 1)[1]}.parquet"))
-    return sorted(found)
 
 
 def chains(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "chains")
-    return _all([market.option_chain(spark, root, s) for s in write_chains(spark, d, root)])
+    write_chains(spark, d, root)
+    return market.option_chains(spark, root)
 
 
 @query("read_chain", with_tables("chain") + f"SELECT symbol, session, dte, strike, option_type, strftime(session, '%Y-%m') AS ym, {r(MID, 'mid')}, {r(REL, 'rel_spread')} FROM chain")
@@ -60,6 +58,16 @@ def read_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.session_calendar(chain).join(market.session_spot(chain), ["symbol", "session"]))
 
 
+#: The session that ``one_session`` reads.
+SESSION = "1995-03-15"
+
+
+@query("one_session", with_tables("chain") + f"SELECT symbol, session, dte, strike, option_type, {r(MID, 'mid')} FROM chain WHERE session = DATE '{SESSION}'")
+def one_session(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol's quotes of one session, from one file of each."""
+    return rounded(market.session_chain(chains(spark, d), SESSION).select("symbol", "session", "dte", "strike", "option_type", "mid"))
+
+
 #: The volatility index's files, two with their value under another name.
 INDICES = {"SPY": "vix", "QQQ": "close", "IWM": "close"}
 

@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 from millrace.operators import bootstrap, study
 from millrace.plans.catalog import BREACHES, LAGGED, MARKET, PANEL_TABLES, TARGETS, labels, panel, query, r, rounded, weekly_sql
 from millrace.plans import documents
+from millrace.plans import oracle_draws as draws_sql
 from millrace.plans.oracle_base import with_tables
+from millrace.session import staged
 
 SIG = list(study.SIGNALS)
 TGT = ["fwd_ret", "upside_tail", "vol_norm_ret", *BREACHES]
 ALL = [*SIG, "deep_dd_60"]
 
 
-def weeks(spark: SparkSession, d: str) -> DataFrame:
-    return study.weekly(panel(spark, d))
+def weeks(spark: SparkSession, d: str, since: str | None = None) -> DataFrame:
+    """Each week's signals, computed once for all that reads them."""
+    return staged(study.weekly(panel(spark, d), since), "weeks")
 
 
-def goals(spark: SparkSession, d: str) -> DataFrame:
-    return study.weekly(labels(spark, d).select("symbol", "date", *TGT))
+def goals(spark: SparkSession, d: str, since: str | None = None) -> DataFrame:
+    """Each week's targets, computed once for all that reads them."""
+    return staged(study.weekly(labels(spark, d).select("symbol", "date", *TGT), since), "goals")
 
 
 TW = TARGETS | weekly_sql("targets", TGT)
@@ -156,24 +160,58 @@ def block_bootstrap_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sides.groupBy("symbol").agg(F.count("*").alias("draws"), F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.95)).alias("high")))
 
 
-@query("block_bootstrap_exact_mean")
+def drawn_sql(cells: str, keys: str, least: int, block: int, draws: int, seed: int = 11) -> dict[str, str]:
+    """Extra tables from ``cells`` (keys, week, t, is_on): running sums of each cell as lists, and the seeded blocks of a draw as a list."""
+    runs = {"t": "t", "a": "CASE WHEN is_on THEN t ELSE 0 END", "k": "CASE WHEN is_on THEN 1 ELSE 0 END"}
+    summed = ", ".join(f"sum(CAST({x} AS DOUBLE)) OVER (PARTITION BY {keys} ORDER BY week) AS {c}" for c, x in runs.items())
+    return {
+        "summed": f"SELECT {keys}, week, {summed} FROM {cells}",
+        "runs": f"SELECT {keys}, count(*) AS n, CAST(max(k) AS BIGINT) AS n_on, {', '.join(f'[0e0] || list({c} ORDER BY week) AS {c}' for c in runs)} FROM summed GROUP BY {keys}",
+    } | draws_sql.starts(f"SELECT n FROM runs WHERE n >= {least}", seed, block, draws) | {
+        "blocks": "SELECT n, draw, list(s) AS s, list(s + len) AS e FROM starts GROUP BY n, draw",
+        "draws": f"SELECT {keys}, n, n_on, draw, " + ", ".join(f"list_sum(list_transform(e, lambda i: {c}[i + 1])) - list_sum(list_transform(s, lambda i: {c}[i + 1])) AS {c}" for c in runs) + " FROM runs JOIN blocks USING (n)",
+    }
+
+
+def between(x: str, low: float, high: float) -> str:
+    return f"{r(f'quantile_cont({x}, {low!r})', 'low')}, {r(f'quantile_cont({x}, {high!r})', 'high')}"
+
+
+@query("block_bootstrap_exact_mean", with_tables(*PANEL_TABLES, extra=BOTH | {"bc": DRAWN["bc"]} | drawn_sql("bc", "symbol, is_on", 15, 8, 1000)) + f"""
+SELECT runs.symbol, runs.is_on AS "on", n, mean, low, high FROM (SELECT symbol, is_on, n, CASE WHEN n >= 15 THEN {r('t[n + 1] / n', 'x').removesuffix(' AS x')} END AS mean FROM runs) runs
+LEFT JOIN (SELECT symbol, is_on, {between('t / n', 0.05, 0.95)} FROM draws GROUP BY 1, 2) i ON runs.symbol = i.symbol AND runs.is_on = i.is_on""")
 def block_bootstrap_exact_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bootstrap.mean_interval(breach_cells(spark, d), ["symbol", "on"]))
 
 
-@query("block_bootstrap_exact_diff")
+def difference_sql(keys: str) -> str:
+    """Rows of ``difference_interval`` from the tables of ``drawn_sql``."""
+    apart = "CASE WHEN k >= 3 AND n - k >= 3 THEN a / k - (t - a) / (n - k) END"
+    point = "CASE WHEN n_on >= 10 AND n - n_on >= 10 THEN a[n + 1] / n_on - (t[n + 1] - a[n + 1]) / (n - n_on) END"
+    return f"""SELECT {keys}, n_on, n - n_on AS n_off, {r(point, 'diff')}, low, high FROM runs
+LEFT JOIN (SELECT {keys}, {between(apart, 0.05, 0.95)} FROM draws WHERE n_on >= 10 AND n - n_on >= 10 GROUP BY {keys}) USING ({keys})"""
+
+
+@query("block_bootstrap_exact_diff", with_tables(*PANEL_TABLES, extra=BOTH | {"bc": DRAWN["bc"]} | drawn_sql("bc", "symbol", 20, 8, 1000)) + difference_sql("symbol"))
 def block_bootstrap_exact_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bootstrap.difference_interval(breach_cells(spark, d), ["symbol"]))
 
 
-@query("block_bootstrap_median")
+@query("block_bootstrap_median", with_tables("px", "vol", extra=TW | {
+    "u": "SELECT symbol, week, upside_tail AS t, row_number() OVER (PARTITION BY symbol ORDER BY week) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM targets_w WHERE upside_tail IS NOT NULL"}
+    | draws_sql.starts("SELECT n FROM u WHERE n >= 5", 7, 10, 2000) | {
+    "drawn": "SELECT u.symbol, draw, median(t) AS m FROM (SELECT n, draw, unnest(range(s, s + len)) AS pos FROM starts) d JOIN u USING (n, pos) GROUP BY 1, 2"})
+       + f"SELECT symbol, u.n, low, high FROM (SELECT symbol, count(*) AS n FROM u GROUP BY 1) u LEFT JOIN (SELECT symbol, {between('m', 0.025, 0.975)} FROM drawn GROUP BY 1) USING (symbol)")
 def block_bootstrap_median(spark: SparkSession, d: str) -> DataFrame:
     """The interval of any statistic, here the median upside tail of each symbol's weeks."""
     tails = goals(spark, d).select("symbol", "week", F.col("upside_tail").alias("t"))
     return rounded(bootstrap.statistic_intervals(tails, ["symbol"], np.median))
 
 
-@query("quantile_sweep_intervals")
+@query("quantile_sweep_intervals", with_tables(*PANEL_TABLES, extra=BOTH | SWEEP | {"cells": f"""
+SELECT sl.symbol, sl.signal, q, target, l.week, t, coalesce(s >= cut, false) AS is_on FROM sl JOIN cuts ON sl.symbol = cuts.symbol AND sl.signal = cuts.signal
+JOIN l ON l.symbol = sl.symbol AND l.week = sl.week WHERE t IS NOT NULL AND NOT (sl.symbol = '{MARKET}' AND sl.signal = 'beta_60')"""}
+    | drawn_sql("cells", "symbol, signal, q, target", 20, 8, 1000)) + difference_sql("symbol, signal, q, target"))
 def quantile_sweep_intervals(spark: SparkSession, d: str) -> DataFrame:
     cells = study.sweep_cells(weeks(spark, d), goals(spark, d), SIG, BREACHES, MARKET)
     return rounded(bootstrap.difference_interval(cells, ["symbol", "signal", "q", "target"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,11 @@ def busy_tasks(rows: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="millrace-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share; what is there goes when the session's JVM ends.
 
@@ -37,7 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(base or 'file://' + tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{(base or _own_folder()).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and safe from the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

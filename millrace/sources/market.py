@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +22,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def option_chain(spark: SparkSession, root: str, symbol: str) -> DataFrame:
-    """A symbol's monthly chain files with the derived columns, and their month as ``ym``.
+def option_chains(spark: SparkSession, root: str, symbols: Sequence[str] | None = None) -> DataFrame:
+    """The monthly chain files of all symbols, or of those named, as one scan with the derived columns.
 
-    Filter on ``ym`` beside a session: it comes from the file's name and prunes nothing
-    else's rows, but sorts out whole files early.
+    ``symbol`` and the month ``ym`` come from each file's path, so a predicate on them
+    leaves files out when the scan is planned, before any is opened.
     """
-    path = f"{root}/options/{symbol.lower()}/chain_*.parquet"
-    if not exists(spark, path):
-        raise FileNotFoundError(path)
-    rows = spark.read.schema(schemas.CHAIN).parquet(path).select(
-        "*", F.regexp_extract("_metadata.file_path", r"chain_(\d{4}-\d{2})\.parquet", 1).alias("ym")
+    names = sorted({s.lower() for s in symbols}) if symbols is not None else ["*"]
+    for path in (paths := [f"{root}/options/{s}/chain_*.parquet" for s in names]):
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+    where = F.url_decode("_metadata.file_path")
+    rows = spark.read.schema(schemas.CHAIN).parquet(*paths).select(
+        "*", F.upper(F.regexp_extract(where, r"/options/([^/]+)/chain_", 1)).alias("symbol"), F.regexp_extract(where, r"/chain_(\d{4}-\d{2})\.parquet", 1).alias("ym")
     )
-    return derive_chain(rows.withColumn("symbol", F.lit(symbol.upper())))
+    return derive_chain(rows)
+
+
+def option_chain(spark: SparkSession, root: str, symbol: str) -> DataFrame:
+    """A symbol's monthly chain files with the derived columns, and their month as ``ym``."""
+    return option_chains(spark, root, [symbol])
 
 
 def derive_chain(rows: DataFrame) -> DataFrame:
@@ -49,8 +58,11 @@ def session_calendar(chain: DataFrame) -> DataFrame:
 
 
 def session_chain(chain: DataFrame, day: str) -> DataFrame:
-    """One session's quotes; the month's predicate leaves out other files."""
+    """One session's quotes: the month leaves out other files, the day's instants other row groups."""
     rows = chain.where(F.col("session") == F.lit(day).cast("date"))
+    if "ts" in chain.columns:
+        begin, end = (F.to_utc_timestamp(F.date_add(F.lit(day).cast("date"), k).cast("timestamp"), ZONE) for k in (0, 1))
+        rows = rows.where((F.col("ts") >= begin) & (F.col("ts") < end))
     return rows.where(F.col("ym") == day[:7]) if "ym" in chain.columns else rows
 
 

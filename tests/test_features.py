@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import frames
 from millrace.functions.windows import change, ordered, rolling
 from millrace.operators import features, targets
 from millrace.operators.calendar import as_of, day_gaps, next_event, on_calendar, resample_last
@@ -71,6 +72,34 @@ def test_share_below_counts_null_rows(spark):
     same(got[3:], want[3:])
 
 
+def test_sorted_frame_counts_like_a_list():
+    rng = np.random.default_rng(5)
+    frame, held = frames.SortedFrame(), []
+    for x in rng.integers(0, 900, 6000).astype(float):
+        frame.add(x)
+        held.append(x)
+        if len(held) > 2500:
+            frame.remove(held.pop(0))
+        assert (frame.below(x), frame.upto(x), frame.size) == (sum(v < x for v in held), sum(v <= x for v in held), len(held))
+    assert (frame.below(-1.0), frame.upto(1e9)) == (0, 2500)
+
+
+def test_ranks_of_wide_frames(spark):
+    """A frame of 25,000 rows, gaps and ties included; nothing collects a frame."""
+    rng = np.random.default_rng(6)
+    x = pd.Series(np.round(rng.normal(size=40_000), 2))
+    x[rng.random(40_000) < 0.1] = np.nan
+    day = pd.date_range("1900-01-01", periods=40_000).date
+    rows = spark.createDataFrame([("A", d, None if v != v else float(v)) for d, v in zip(day, x)] + [("B", day[0], 1.0)], "symbol string, date date, v double")
+    ranked = frames.with_frame_ranks(rows.repartition(4), "v", 25_000)
+    assert "collect_list" not in ranked._jdf.queryExecution().toString()
+    got = ranked.where("symbol = 'A'").orderBy("date").toPandas()
+    want = x.rolling(25_000, min_periods=1).rank(method="min") - 1
+    np.testing.assert_allclose(got["_below"], want)
+    np.testing.assert_allclose((got["_below"] + (got["_same"] + 1) / 2), x.rolling(25_000, min_periods=1).rank())
+    assert got["_known"].tolist() == x.notna().rolling(25_000, min_periods=1).sum().astype(int).tolist() and got["_rows"].max() == 25_000
+
+
 def test_correlation_and_beta(spark):
     rng = np.random.default_rng(1)
     days = [d.date() for d in pd.bdate_range("2020-01-01", periods=120)]

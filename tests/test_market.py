@@ -37,6 +37,39 @@ def test_readers(spark, tmp_path):
     assert market.sector_series(spark, root).count() == 9
 
 
+def files_read(df):
+    """Files that the scans of an executed frame opened."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    leaves = plan.collectLeaves()
+    scans = [x for x in (leaves.apply(k) for k in range(leaves.size())) if "Scan" in x.getClass().getSimpleName()]
+    return sum(x.metrics().apply("numFiles").value() for x in scans)
+
+
+def test_one_session_opens_one_file_of_each_symbol(spark, tmp_path):
+    root = str(tmp_path)
+    day = lambda m, d: dt.datetime(2024, m, d, 20, 30)
+    chain = "ts timestamp, expiration date, strike double, option_type string, bid double, ask double, open_interest double, underlying_price double"
+    for sym in ("spy", "a b"):
+        for m in (1, 2, 3):
+            rows = [(day(m, d), dt.date(2024, 6, 1), 100.0 + d, "C", 1.0, 1.2, 1.0, 99.0) for d in (2, 3, 31 if m == 1 else 5)]
+            spark.createDataFrame(rows, chain).coalesce(1).write.parquet(f"{root}/options/{sym}/chain_2024-{m:02d}.parquet")
+    chains = market.option_chains(spark, root)
+    assert {(r.symbol, r.ym) for r in chains.select("symbol", "ym").distinct().collect()} == {(s, f"2024-0{m}") for s in ("SPY", "A B") for m in (1, 2, 3)}
+    assert (files_read(chains.select("strike")), files_read(chains.where("symbol = 'A B'").select("strike"))) == (6, 3)
+    one = market.session_chain(chains, "2024-02-03")
+    assert files_read(one.select("symbol", "strike")) == 2 and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in one._jdf.queryExecution().toString()
+    assert sorted((r.symbol, r.strike) for r in one.collect()) == [("A B", 103.0), ("SPY", 103.0)]
+    # Other months' files are never opened: they may as well be broken.
+    for f in (tmp_path / "options" / "spy" / "chain_2024-03.parquet").glob("part-*"):
+        f.write_bytes(b"not a Parquet file at all")
+    assert market.session_chain(market.option_chains(spark, root, ["SPY"]), "2024-02-03").count() == 1
+    # The last evening of a month belongs to that month's file.
+    assert market.session_chain(chains, "2024-01-31").count() == 2
+    with pytest.raises(FileNotFoundError):
+        market.option_chains(spark, root, ["SPY", "QQQ"])
+
+
 def test_selection_takes_the_liquid_expiry(spark):
     day = dt.date(2024, 1, 2)
     rows = []
