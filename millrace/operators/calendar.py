@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.windows import ffill, friday, last_known, ordered, sunday
+from millrace.session import staged
 
 
 def on_calendar(days: DataFrame, series: DataFrame, value: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -21,29 +27,57 @@ def on_calendar(days: DataFrame, series: DataFrame, value: str, keys: tuple[str,
 def as_of(left: DataFrame, right: DataFrame, value: str, left_time: str = "date", right_time: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
     """Add the latest ``value`` at or before each left row's time, by one sort of both sides.
 
-    Both sides are stacked, the right rows first within a day, and the last value is
-    carried on: one shuffle on the keys instead of a range join. Without keys the rows
-    are dealt by year, and each year is handed the last value before it.
+    With keys both sides are stacked, the right rows first within a day, and the last
+    value is carried on: one shuffle on the keys instead of a range join. Without keys
+    there is nothing to deal rows out by, so the times that occur, each once, are range
+    partitioned (``carried``) and looked up by the left rows.
     """
+    if not keys:
+        times = left.select(F.col(left_time).alias("_t")).where("_t is not null")
+        found = carried(times, right.select(F.col(right_time).alias("_t"), F.col(value).alias("_v")))
+        return left.join(found, left[left_time] == found["_t"], "left").select(left["*"], found["_f"].alias(value))
     tag = [F.col(k) for k in keys]
     stack = left.select(*tag, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct("*").alias("_row"))
     known = right.where(F.col(value).isNotNull()).select(*tag, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
     known = known.withColumn("_row", F.lit(None).cast(stack.schema["_row"].dataType))
-    both = stack.unionByName(known)
-    if keys:
-        w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-        out = both.withColumn("_f", F.last("_v", ignorenulls=True).over(w))
-    else:
-        both = both.withColumn("_y", F.year("_t"))
-        w = Window.partitionBy("_y").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-        lasts = known.groupBy(F.year("_t").alias("_k")).agg(F.max_by("_v", "_t").alias("_last"))
-        # A row per year: the last value of the nearest earlier year that has one.
-        years = both.select("_y").distinct()
-        carried = years.join(lasts, F.col("_k") < F.col("_y"), "left").groupBy("_y").agg(F.max_by("_last", "_k").alias("_carry"))
-        out = both.join(F.broadcast(carried), "_y").withColumn("_f", F.coalesce(F.last("_v", ignorenulls=True).over(w), "_carry"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = stack.unionByName(known).withColumn("_f", F.last("_v", ignorenulls=True).over(w))
     return out.where("_side = 1").select("_row.*", F.col("_f").alias(value))
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``_f``: ``_v`` with nulls replaced by the last value before them in the partition."""
+    last = None
+    for b in batches:
+        v = b.column("_v")
+        v = v if last is None else pa.concat_arrays([last, v])
+        filled = pc.fill_null_forward(v)
+        found = filled if last is None else filled.slice(1)
+        if len(filled):
+            last = filled.slice(len(filled) - 1, 1)
+        yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, "_f"])
+
+
+def carried(times: DataFrame, known: DataFrame) -> DataFrame:
+    """(_t, _f): the latest value of ``known(_t, _v)`` at or before each distinct time of ``times(_t)``.
+
+    The distinct times of both sides go through a range exchange. Every partition carries
+    its own values on in the order of time, and is handed the last value before its first
+    row: only the last value of each partition meets those of the others. Of several
+    values at one time the greatest counts.
+    """
+    known = known.where(F.col("_v").isNotNull()).groupBy("_t").agg(F.max("_v").alias("_v"))
+    both = times.distinct().join(known, "_t", "full_outer")
+    ranged = both.repartitionByRange("_t").sortWithinPartitions("_t").select("_t", "_v")
+    wider = T.StructType([*ranged.schema.fields, T.StructField("_f", ranged.schema["_v"].dataType)])
+    placed = staged(ranged.mapInArrow(_filled, wider).withColumn("_part", F.spark_partition_id()), "carried")
+    # A row per partition: what it ends with, or else what the one before it ends with.
+    ends = placed.groupBy("_part").agg(F.max_by("_f", "_t").alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    handed = ends.select("_part", before.alias("_before"))
+    return placed.join(F.broadcast(handed), "_part").select("_t", F.coalesce("_f", "_before").alias("_f"))
+
+
 def next_event(left: DataFrame, events: DataFrame, day: str, event_day: str, amount: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Add the first event day strictly after each row's day, and that day's total amount."""
     daily = events.groupBy(*keys, F.col(event_day).alias("_t")).agg(F.sum(amount).alias("_a"))

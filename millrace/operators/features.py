@@ -6,8 +6,14 @@ and one sort. Series are pre-aggregated to a row a day before they get here.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.frames import ADDED, with_frame_ranks
 from millrace.functions.windows import change, flag, ordered, rolling
@@ -68,28 +74,73 @@ def with_share_below(rows: DataFrame, value: str, name: str, n: int = TRADING_DA
     return ranked.withColumn(name, F.when(F.col("_known") >= least, share)).drop(*ADDED)
 
 
-def sector_returns(sectors: DataFrame) -> DataFrame:
-    """(sector, date, ret) on the union of all sectors' days, null where a sector has none."""
-    days = sectors.select("date").distinct()
-    names = sectors.select("sector").distinct()
-    full = days.crossJoin(F.broadcast(names)).join(sectors, ["sector", "date"], "left")  # sectors x days: both few
-    w = ordered("sector")
-    return full.select("sector", "date", change(F.col("close"), w, 1).alias("ret"))
+class _Products:
+    """Sums over a moving frame of the values, squares and cross products of returns, for every pair of series where both are known."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.names, self.held = n, [], deque()
+        self.sums = self.lost = np.zeros((4, 0, 0))
+
+    def _moved(self, row: np.ndarray, sign: int) -> None:
+        """Add a row of returns to the sums or take it out; what rounding loses is kept beside them."""
+        known = ~np.isnan(row)
+        x = np.where(known, row, 0.0)
+        terms = sign * np.stack([np.outer(known, known), np.outer(x, known), np.outer(x * x, known), np.outer(x, x)]).astype(float)
+        total = self.sums + terms
+        self.lost = self.lost + np.where(np.abs(self.sums) >= np.abs(terms), (self.sums - total) + terms, (terms - total) + self.sums)
+        self.sums = total
+
+    def widened(self, name: str) -> int:
+        """The place of a series, a new one if need be."""
+        if name not in self.names:
+            self.names.append(name)
+            self.sums, self.lost = (np.pad(s, ((0, 0), (0, 1), (0, 1))) for s in (self.sums, self.lost))
+            self.held = deque(np.append(r, np.nan) for r in self.held)
+        return self.names.index(name)
+
+    def mean_correlation(self, row: np.ndarray) -> float | None:
+        """Move on by a row; the mean over pairs with a full frame of their correlation."""
+        self.held.append(row)
+        self._moved(row, 1)
+        if len(self.held) > self.n:
+            self._moved(self.held.popleft(), -1)
+        count, a, aa, ab = self.sums + self.lost
+        with np.errstate(all="ignore"):
+            spread = aa - a * a / count  # of the row's series over the days on which the column's is known too
+            corr = (ab - a * a.T / count) / np.sqrt(spread * spread.T)
+        # A constant series leaves rounding alone; its squares tell how much that may be.
+        live = (count >= self.n) & (spread > 1e-12 * aa) & (spread.T > 1e-12 * aa.T)
+        found = corr[np.triu(live, 1)]
+        return float(found.mean()) if len(found) else None
 
 
 def pairwise_correlation(sectors: DataFrame, n: int = 60) -> DataFrame:
-    """(date, corr): mean over all sector pairs of the rolling correlation of returns."""
-    r = sector_returns(sectors)
-    a = r.select(F.col("sector").alias("sa"), "date", F.col("ret").alias("ra"))
-    b = r.select(F.col("sector").alias("sb"), "date", F.col("ret").alias("rb"))
-    pairs = a.join(b, "date").where("sa < sb")
-    both = F.col("ra").isNotNull() & F.col("rb").isNotNull()
-    pairs = pairs.withColumn("xa", F.when(both, F.col("ra"))).withColumn("xb", F.when(both, F.col("rb")))
-    frame = ordered(["sa", "sb"]).rowsBetween(-(n - 1), 0)
-    sd = F.stddev_samp("xa").over(frame) * F.stddev_samp("xb").over(frame)
-    corr = F.try_divide(F.covar_samp("xa", "xb").over(frame), F.nullif(sd, F.lit(0.0)))
-    rows = pairs.select("date", F.when(F.count("xa").over(frame) >= n, corr).alias("c"))
-    return rows.groupBy("date").agg(F.avg("c").alias("corr"))
+    """(date, corr): mean over all sector pairs of the rolling correlation of returns.
+
+    Returns are taken on the union of all sectors' days, gaps filled forward. The days, an
+    array of closes each, stream in order through one task that holds a frame of them:
+    market-wide daily series are a row a day whatever the size of the tables behind them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products, last = _Products(n), np.zeros(0)
+        for b in batches:
+            found = []
+            for day in b.column("closes").to_pylist():
+                places = [products.widened(x["sector"]) for x in day]
+                last = np.append(last, np.full(len(products.names) - len(last), np.nan))
+                now = last.copy()
+                for k, x in zip(places, day):
+                    if x["close"] is not None:
+                        now[k] = x["close"]
+                with np.errstate(all="ignore"):
+                    change = now / last - 1.0
+                found.append(products.mean_correlation(np.where(np.isfinite(change), change, np.nan)))
+                last = now
+            yield pa.RecordBatch.from_arrays([b.column("date"), pa.array(found, pa.float64())], ["date", "corr"])
+
+    days = sectors.groupBy("date").agg(F.collect_list(F.struct("sector", F.col("close").cast("double").alias("close"))).alias("closes"))
+    return days.repartition(1).sortWithinPartitions("date").mapInArrow(run, T.StructType([sectors.schema["date"], T.StructField("corr", T.DoubleType())]))
 
 
 def rolling_beta(px: DataFrame, market: str, n: int = 60) -> DataFrame:

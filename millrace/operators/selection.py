@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.pricing import bs_greeks, implied_vol
+from millrace.functions.pricing import bs_greeks, with_implied_vol
 from millrace.functions.quotes import eligible
 from millrace.functions.windows import computed
 
@@ -37,7 +37,7 @@ def with_delta(quotes: DataFrame, rate: Column) -> DataFrame:
     """Add mid, iv and delta; rows without a usable volatility go."""
     t, q, call = F.col("dte") / F.lit(365.0), F.lit(CARRY), F.col("option_type") == "C"
     rows = quotes.withColumn("mid", (F.col("bid") + F.col("ask")) / 2.0)
-    rows = rows.withColumn("iv", implied_vol(F.col("mid"), F.col("spot"), F.col("strike"), t, rate, q, call))
+    rows = with_implied_vol(rows, "iv", F.col("mid"), F.col("spot"), F.col("strike"), t, rate, q, call)
     rows = rows.where((F.col("iv") > VOL_BOUNDS[0]) & (F.col("iv") < VOL_BOUNDS[1]))
     return computed(rows, delta=bs_greeks(F.col("spot"), F.col("strike"), t, F.col("iv"), rate, q, call)["delta"])
 

@@ -123,7 +123,7 @@ def bisected() -> str:
 def implied_vol(spark: SparkSession, d: str) -> DataFrame:
     spot, strike, t, _, rate, q, call = _args(None)
     mid = (F.col("bid") + F.col("ask")) / 2.0
-    return rounded(S.chain(spark, d).select(*IDS, pricing.implied_vol(mid, spot, strike, t, rate, q, call).alias("iv")), 4)
+    return rounded(pricing.with_implied_vol(S.chain(spark, d), "iv", mid, spot, strike, t, rate, q, call).select(*IDS, "iv"), 4)
 
 
 def picks(spark: SparkSession, d: str) -> DataFrame:
@@ -486,12 +486,7 @@ def strided_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sector_union", with_tables("sec") + "SELECT sector, count(*) AS days, " + r("max(close)", "high") + " FROM sec GROUP BY 1")
 def sector_union(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.sectors(spark, d)
-    names = [x.sector for x in rows.select("sector").distinct().orderBy("sector").collect()]  # a handful of series
-    parts = [rows.where(F.col("sector") == n) for n in names]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = S.sectors(spark, d)
     return rounded(every.groupBy("sector").agg(F.count("*").alias("days"), F.max("close").alias("high")))
 
 

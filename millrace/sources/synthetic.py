@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.pricing import bs_price
 from millrace.functions.windows import computed
+from millrace.session import busy_tasks
 
 RATE, CARRY = 0.03, 0.013
 
@@ -83,6 +84,8 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("id") / 6) % 9).cast("int").alias("ki"),
         F.when(F.col("id") < 54, "C").otherwise("P").alias("option_type"),
     )
+    # A few bytes a day, but a hundred quotes to price: not for the tasks that so few bytes would be given.
+    days = days.repartition(busy_tasks(days), "symbol", "date")
     rows = days.crossJoin(F.broadcast(grid))  # a fixed grid of 108 rows
     # Off the halves, on which a walk that ends where it began would fall and engines round apart.
     rows = rows.withColumn("strike", F.round(F.col("close") * (F.col("ki") * 0.025 + 0.9) + 0.07, 0))

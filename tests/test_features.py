@@ -116,6 +116,25 @@ def test_correlation_and_beta(spark):
     assert set(back(beta.where("symbol = 'a'"), "beta_60")) == {1.0}
 
 
+def test_carried_over_partition_edges(spark):
+    """Times without a key: many partitions, some without any known value, the same answer as one merge."""
+    rng = np.random.default_rng(8)
+    stamp = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(k))
+    left = pd.DataFrame({"date": [stamp(k) for k in rng.integers(0, 50_000, 9000)]})
+    right = pd.DataFrame({"date": [stamp(k) for k in [*rng.integers(100, 4000, 300), *rng.integers(48_000, 49_000, 20)]], "value": rng.normal(size=320)}).drop_duplicates("date")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(x.to_pydatetime(), float(v)) for x, v in zip(right["date"], right["value"])]
+        a = spark.createDataFrame([(x.to_pydatetime(),) for x in left["date"]] + [(None,)], "date timestamp").repartition(5)
+        b = spark.createDataFrame([*rows, (stamp(60_000), None), (stamp(7), None)], "date timestamp, value double").repartition(5)
+        got = as_of(a, b, "value").toPandas().sort_values("date").reset_index(drop=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = pd.merge_asof(left.sort_values("date"), right.sort_values("date"), on="date")
+    assert len(got) == 9001 and got["date"].isna().sum() == 1 and np.isnan(got["value"][9000])
+    np.testing.assert_allclose(got["value"][:9000], want["value"], equal_nan=True)
+
+
 def test_targets_truncate_at_the_end(px, spark):
     pdf, df = px
     c = pdf["close"]

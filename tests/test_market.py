@@ -73,7 +73,6 @@ def test_one_session_opens_one_file_of_each_symbol(spark, tmp_path):
 def test_selection_takes_the_liquid_expiry(spark):
     day = dt.date(2024, 1, 2)
     rows = []
-    from millrace.functions.pricing import solve_vol  # noqa: F401
     from tests.test_pricing import price
 
     grid = [(100.0, float(k), d / 365, 0.2, 0.045, 0.013, "C") for d in (10, 45) for k in range(80, 121, 5)]

@@ -59,13 +59,32 @@ def test_implied_vol_round_trip_and_refusals(spark):
     none = [(p, s, k, tt, v, rr, qq, c) for p, s, k, tt, v, rr, qq, c in none]
     df = spark.createDataFrame(rows + none, "p double, s double, k double, t double, v double, r double, q double, c boolean")
     c = F.col
-    for solve in (P.implied_vol, P.implied_vol_native):
-        got = [x.iv for x in df.select(solve(c("p"), c("s"), c("k"), c("t"), c("r"), c("q"), c("c")).alias("iv")).collect()]
+    args = [c(k) for k in ("p", "s", "k", "t", "r", "q", "c")]
+    solved = P.with_implied_vol(df, "iv", *args)
+    assert solved.columns == [*df.columns, "iv"] and "Python" not in solved._jdf.queryExecution().executedPlan().toString()
+    for got in ([x.iv for x in solved.collect()], [x.iv for x in df.select(P.bisected_vol(*args).alias("iv")).collect()][: len(rows)]):
         for row, iv in zip(rows, got):
             ill = abs(row[0] - max(0, (1 if row[7] else -1) * (row[1] * math.exp(-q * t) - row[2] * math.exp(-r * t)))) < 1e-6
-            assert ill or iv == pytest.approx(row[4], abs=1e-6)
-        if solve is P.implied_vol:
-            assert got[len(rows) :] == [None] * 4
+            assert ill or iv == pytest.approx(row[4], abs=1e-8)
+        assert got[len(rows) :] in ([], [None] * 4)
+
+
+def test_solver_over_all_strikes_and_volatilities(spark):
+    """Far from the money and near it, short and long, quiet and wild: as exact as the price allows."""
+    rng = np.random.default_rng(11)
+    n = 4000
+    t = 10 ** rng.uniform(-2.5, 0.5, n)
+    v = 10 ** rng.uniform(-1.7, 0.6, n)
+    k = 100 * np.exp(np.where(rng.random(n) < 0.2, 0.0, rng.normal(size=n)) * v * np.sqrt(t) * 2)
+    grid = [(100.0, float(a), float(b), float(x), 0.03, 0.013, "CP"[i % 2]) for i, (a, b, x) in enumerate(zip(k, t, v))]
+    rows = [(x.p, *map(float, g[:6]), g[6] == "C", x.g.vega) for g, x in zip(grid, price(spark, grid))]
+    df = spark.createDataFrame(rows, "p double, s double, k double, t double, v double, r double, q double, c boolean, vega double")
+    args = [F.col(x) for x in ("p", "s", "k", "t", "r", "q", "c")]
+    got = P.with_implied_vol(df, "iv", *args).collect()
+    # Where the price's last digits move the volatility by more, no solver can do better.
+    known = [x for x in got if x.p / max(x.vega, 1e-300) < 1e6]
+    assert len(known) > 0.9 * n and all(abs(x.iv - x.v) < 1e-8 + 1e-15 * x.p / x.vega for x in known)
+    assert all(x.iv is None or 1e-4 * (1 - 1e-9) <= x.iv <= 5.0 * (1 + 1e-9) for x in got)
 
 
 def test_year_fraction_and_normal(spark):
