@@ -11,6 +11,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.rounding import published
 from millrace.functions.windows import flag
 from millrace.operators.calendar import resample_last
 from millrace.operators.order import quantiles, with_average_ranks
@@ -82,7 +83,7 @@ def named_cutoffs(weeks: DataFrame) -> DataFrame:
     probabilities = tuple(sorted({q for _, _, q, _ in CUTOFFS}))
     found = quantiles(long(weeks, sorted({s for _, s, _, _ in CUTOFFS}), "signal", "s"), ["symbol", "signal"], "s", probabilities)
     at = lambda signal, q: F.max(F.when(F.col("signal") == signal, F.get("quantiles", F.lit(probabilities.index(q)))))
-    return found.groupBy("symbol").agg(*[F.round(at(signal, q), digits).alias(name) for name, signal, q, digits in CUTOFFS])
+    return found.groupBy("symbol").agg(*[published(at(signal, q), digits).alias(name) for name, signal, q, digits in CUTOFFS])
 
 
 def conditions(weeks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from millrace.plans.catalog import LAGGED, PANEL_TABLES, query, r, rounded, trad
 from millrace.plans.oracle_base import ncdf, with_tables
 from millrace.sources import market, sinks, synthetic as S
 from millrace.sources.synthetic import CARRY, RATE
+from millrace.session import staged
 from millrace.streaming import online
 
 ID = "symbol, session, dte, strike, option_type"
@@ -215,7 +216,7 @@ def interest_accrual(spark: SparkSession, d: str) -> DataFrame:
 
 def tapes(spark: SparkSession, d: str) -> DataFrame:
     vetoes = gates.gated(traded(spark, d), driver_gates(spark))
-    chain = S.chain(spark, d)
+    chain = staged(S.chain(spark, d), "chain")  # the tape reads it four times
     return tape.session_tape(chain, S.prices(spark, d), S.rates(spark, d), S.dividends(spark, d), selection.pick_by_delta(chain, F.lit(RATE)), vetoes)
 
 
@@ -422,7 +423,7 @@ LEFT JOIN (SELECT {RUN_KEYS}, count(*) FILTER (WHERE tag = 'cc_write') AS w, cou
 
 @query("run_summary", ledger_sql(f"{RUN_SELECT}, n_calls_written, n_called_away, final_shares FROM fin JOIN cnt USING ({RUN_KEYS})", **RUN_EQ, cnt=COUNTS))
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    log = ledgers(spark, d)
+    log = staged(ledgers(spark, d), "log")  # folded once for the metrics and the counters
     return rounded(metrics.equity_metrics(ledger.equity_log(log), KEYS, S.rates(spark, d)).join(ledger.run_counters(log), KEYS))
 
 

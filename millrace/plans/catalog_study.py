@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import bootstrap, study
+from millrace.functions.rounding import published_sql
+from millrace.operators import bootstrap, study, targets
 from millrace.plans.catalog import BREACHES, LAGGED, MARKET, PANEL_TABLES, TARGETS, labels, panel, query, r, rounded, weekly_sql
 from millrace.plans import documents
 from millrace.plans import oracle_draws as draws_sql
@@ -67,7 +70,8 @@ def quantile_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 COND = {
-    "cc": "SELECT symbol, " + ", ".join(f'round(quantile_cont({signal}, CAST({q!r} AS DOUBLE)), {digits}) AS "cut_{name}"' for name, signal, q, digits in study.CUTOFFS) + " FROM panel_w GROUP BY 1",
+    "cq": "SELECT symbol, " + ", ".join(f'quantile_cont({signal}, CAST({q!r} AS DOUBLE)) AS "raw_{name}"' for name, signal, q, _ in study.CUTOFFS) + " FROM panel_w GROUP BY 1",
+    "cc": "SELECT symbol, " + ", ".join(published_sql(f'"raw_{name}"', digits) + f' AS "cut_{name}"' for name, _, _, digits in study.CUTOFFS) + " FROM cq",
     "cw": "SELECT w.*, cc.* EXCLUDE (symbol) FROM panel_w w JOIN cc ON w.symbol = cc.symbol",
     "on1": " UNION ALL ".join(
         f"SELECT symbol, week, '{name}' AS condition, coalesce({signal} {how} " + (f'"cut_{x}"' if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)") + ", false) AS is_on FROM cw"
@@ -217,17 +221,137 @@ def quantile_sweep_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bootstrap.difference_interval(cells, ["symbol", "signal", "q", "target"]))
 
 
+#: The first week of the documents.
+SINCE = "1995-01-01"
+
+
 def study_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return documents.study_parts(weeks(spark, d), goals(spark, d), MARKET)
+    return documents.study_parts(weeks(spark, d, SINCE), goals(spark, d, SINCE), MARKET)
+
+
+def since(tables: dict[str, str]) -> dict[str, str]:
+    """Extra tables over the documents' weeks only."""
+    late = lambda sql: sql.replace("panel_w", "panel_s").replace("targets_w", "targets_s")
+    return {f"{k}_s": f"SELECT * FROM {k}_w WHERE week >= DATE '{SINCE}'" for k in ("panel", "targets")} | {k: late(v) for k, v in tables.items()}
 
 
 @query("research_document")
 def research_document(spark: SparkSession, d: str) -> DataFrame:
     """The research document, a row with its text."""
-    return documents.research(study_parts(spark, d), "1995-01-01").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+    return documents.research(study_parts(spark, d), SINCE).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
 
 
 @query("sweep_document")
 def sweep_document(spark: SparkSession, d: str) -> DataFrame:
     """The sweep document, a row with its text."""
     return documents.threshold_sweep(study_parts(spark, d)).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def unnested(document: DataFrame, part: str, levels: list[str]) -> DataFrame:
+    """A row per cell of a document's part: its names by level, and ``v``."""
+    rows = document.select(F.explode(part).alias(levels[0], "v"))
+    for k in range(1, len(levels)):
+        rows = rows.select(*levels[:k], F.explode("v").alias(levels[k], "v"))
+    return rows
+
+
+def named_sql(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {column} END"
+
+
+MULTIPLE = {targets.breach(m): str(float(m)) for m in targets.MULTIPLES}
+SWEPT = [*SIG, "deep_dd_60"]
+SWEPT_CELLS = {
+    "sl": unpivot("panel_w", SWEPT, "signal", "s"),
+    "cuts": CUTS["cuts"],
+    "l": SWEEP["l"],
+    "cells": f"""SELECT sl.symbol, sl.signal, q, target, l.week, t, coalesce(s >= cut, false) AS is_on FROM sl JOIN cuts ON sl.symbol = cuts.symbol AND sl.signal = cuts.signal
+JOIN l ON l.symbol = sl.symbol AND l.week = sl.week WHERE t IS NOT NULL AND NOT (sl.symbol = '{MARKET}' AND sl.signal = 'beta_60')""",
+}
+CELL = "symbol, signal, q, target"
+
+
+def renamed(tables: dict[str, str], suffix: str) -> dict[str, str]:
+    """The tables of ``drawn_sql`` under other names, so that two sets of cells can stand in one query."""
+    names = ("summed", "runs", "sizes", "taken", "starts", "blocks", "draws")
+    swap = lambda sql: re.sub(rf"\b({'|'.join(names)})\b", rf"\1{suffix}", sql)
+    return {(f"{k}{suffix}" if k in names else k): swap(v) for k, v in tables.items()}
+
+
+def sides_sql(names: str) -> str:
+    """(point, lo, hi) of each cell's sides, null below 15 rows, from the tables of ``drawn_sql`` by cell and side."""
+    p = lambda x: published_sql(f"({x}) * 1e2", 2)
+    return f"""SELECT {CELL}, is_on, CASE WHEN n >= 15 THEN {p('t[n + 1] / n')} END AS point, {p('low')} AS lo, {p('high')} AS hi, CASE WHEN n >= 15 THEN n END AS n FROM runs{names}
+LEFT JOIN (SELECT {CELL}, is_on, quantile_cont(t / n, 0.05) AS low, quantile_cont(t / n, 0.95) AS high FROM draws{names} GROUP BY {CELL}, is_on) USING ({CELL}, is_on)"""
+
+
+def diff_sql(names: str) -> str:
+    p = lambda x: published_sql(f"({x}) * 1e2", 2)
+    enough = "n_on >= 10 AND n - n_on >= 10"
+    return f"""SELECT {CELL}, CASE WHEN {enough} THEN {p('a[n + 1] / n_on - (t[n + 1] - a[n + 1]) / (n - n_on)')} END AS point, {p('low')} AS lo, {p('high')} AS hi,
+CASE WHEN {enough} THEN n_on END AS n_top, CASE WHEN {enough} THEN n - n_on END AS n_bottom FROM runs{names}
+LEFT JOIN (SELECT {CELL}, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM (SELECT *, CASE WHEN k >= 3 AND n - k >= 3 THEN a / k - (t - a) / (n - k) END AS m FROM draws{names} WHERE {enough}) GROUP BY {CELL}) USING ({CELL})"""
+
+
+SWEEP_CELLS_SQL = with_tables(*PANEL_TABLES, extra=BOTH | since(
+    SWEPT_CELLS | renamed(drawn_sql("cells", f"{CELL}, is_on", 15, 8, 1000), "_a") | renamed(drawn_sql("cells", CELL, 20, 8, 1000), "_b")
+    | {"sides": sides_sql("_a"), "gap": diff_sql("_b")}
+)) + f"""SELECT g.symbol, {named_sql('g.signal', documents.PUBLISHED)} AS signal, {named_sql('g.target', MULTIPLE)} AS mult, CAST(round(g.q * 1e2) AS INTEGER) AS pct, {published_sql('cut', 4)} AS cutoff,
+a.point AS top, a.lo AS top_lo, a.hi AS top_hi, a.n AS top_n, b.point AS bottom, b.lo AS bottom_lo, b.hi AS bottom_hi, b.n AS bottom_n, g.point AS diff, g.lo AS diff_lo, g.hi AS diff_hi, g.n_top, g.n_bottom
+FROM gap g LEFT JOIN sides a ON a.is_on AND a.symbol = g.symbol AND a.signal = g.signal AND a.q = g.q AND a.target = g.target
+LEFT JOIN sides b ON NOT b.is_on AND b.symbol = g.symbol AND b.signal = g.signal AND b.q = g.q AND b.target = g.target
+JOIN cuts ON cuts.symbol = g.symbol AND cuts.signal = g.signal AND cuts.q = g.q"""
+
+
+@query("sweep_document_cells", SWEEP_CELLS_SQL)
+def sweep_document_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep document taken apart again, a row per fund, signal, multiple and quantile, as published."""
+    rows = unnested(documents.threshold_sweep(study_parts(spark, d)), "sweep", ["symbol", "signal", "mult", "pct"])
+    side = lambda k: [F.col(f"v.{k}.point").alias(k), F.col(f"v.{k}.lo").alias(f"{k}_lo"), F.col(f"v.{k}.hi").alias(f"{k}_hi")]
+    counts = [F.col("v.top.n").alias("top_n"), F.col("v.bottom.n").alias("bottom_n"), F.col("v.diff.n_top").alias("n_top"), F.col("v.diff.n_bottom").alias("n_bottom")]
+    return rows.select("symbol", "signal", "mult", F.col("pct").cast("int").alias("pct"), F.col("v.cutoff").alias("cutoff"), *side("top"), *side("bottom"), *side("diff"), *counts)
+
+
+FOREST_NAMES = {k: v for k, v in documents.FOREST.items()}
+FOREST_CELL = "symbol, condition, target"
+
+
+def forest_sql() -> str:
+    p = lambda x: published_sql(f"({x}) * 1e2", 3)
+    return f"""SELECT 'forest' AS part, symbol, condition AS name, {named_sql('target', FOREST_NAMES)} AS key, {p('a[n + 1] / n_on - (t[n + 1] - a[n + 1]) / (n - n_on)')} AS x, {p('low')} AS lo, {p('high')} AS hi, n_on AS n FROM runs
+JOIN (SELECT {FOREST_CELL}, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM (SELECT *, CASE WHEN k >= 3 AND n - k >= 3 THEN a / k - (t - a) / (n - k) END AS m FROM draws) GROUP BY {FOREST_CELL}) USING ({FOREST_CELL})
+WHERE n_on >= 10 AND n - n_on >= 10"""
+
+
+RATE_NAMES = MULTIPLE
+RESEARCH_CELLS_SQL = with_tables(*PANEL_TABLES, extra=BOTH | since(
+    COND | {"l": unpivot("targets_w", list(documents.FOREST), "target", "t"), "fc": "SELECT symbol, week, condition, target, t, is_on FROM on1 JOIN l USING (symbol, week) WHERE t IS NOT NULL"}
+    | drawn_sql("fc", FOREST_CELL, 20, 8, 1500) | {
+        "br": unpivot("targets_w", BREACHES, "target", "t"),
+        "rate": "SELECT symbol, target, avg(t) * 1e2 AS rate FROM br GROUP BY 1, 2",
+        "tail": "SELECT symbol, median(upside_tail) * 1e2 AS tail FROM targets_w GROUP BY 1",
+        "nw": f"SELECT symbol, count(*) FILTER (WHERE {' OR '.join(f'{c} IS NOT NULL' for c in SWEPT)}) AS n FROM panel_w GROUP BY 1",
+    }
+)) + forest_sql() + f"""
+UNION ALL SELECT 'breach_rates', symbol, '', {named_sql('target', RATE_NAMES)}, {published_sql('rate', 1)}, NULL, NULL, NULL FROM rate
+UNION ALL SELECT 'breach_rates', symbol, '', 'median_upside_tail', {published_sql('tail', 2)}, NULL, NULL, NULL FROM tail
+""" + "".join(f"""UNION ALL SELECT 'cutoffs', symbol, '', '{name}', "cut_{name}", NULL, NULL, NULL FROM cc
+""" for name, *_ in study.CUTOFFS) + """UNION ALL SELECT 'vol_tercile', symbol, '', '', "cut_vol_hi_tercile", NULL, NULL, NULL FROM cc
+UNION ALL SELECT 'n_weekly_obs', symbol, '', '', NULL, NULL, NULL, n FROM nw"""
+
+
+@query("research_document_cells", RESEARCH_CELLS_SQL)
+def research_document_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The research document taken apart again, a row per cell as published, but for the rank correlations (``block_bootstrap_ic``)."""
+    doc = staged(documents.research(study_parts(spark, d), SINCE), "research")
+    none, text = F.lit(None).cast("double"), F.lit("")
+
+    def part(name: str, levels: list[str], x: Column, lo: Column = none, hi: Column = none, n: Column = none.cast("long")) -> DataFrame:
+        rows = unnested(doc, name, levels)
+        at = lambda k: F.col(k) if k in levels else text
+        return rows.select(F.lit(name).alias("part"), at("symbol").alias("symbol"), at("name").alias("name"), at("key").alias("key"), x.alias("x"), lo.alias("lo"), hi.alias("hi"), n.alias("n"))
+
+    v = F.col("v")
+    out = part("forest", ["symbol", "name", "key"], F.col("v.point"), F.col("v.lo"), F.col("v.hi"), F.col("v.n")).where("x is not null")
+    out = out.unionByName(part("breach_rates", ["symbol", "key"], v)).unionByName(part("cutoffs", ["symbol", "key"], v))
+    return out.unionByName(part("vol_tercile", ["symbol"], v)).unionByName(part("n_weekly_obs", ["symbol"], none, n=v.cast("long")))

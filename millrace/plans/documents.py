@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.rounding import published as rounded
 from millrace.operators import bootstrap, study, targets
 
 FORWARD = ("fwd_ret", "upside_tail", "vol_norm_ret")
@@ -50,7 +51,7 @@ def nested(rows: DataFrame, levels: list[str], value: Column) -> DataFrame:
 
 
 def percent(c: str, digits: int) -> Column:
-    return F.round(F.col(c) * 100.0, digits)
+    return rounded(F.col(c) * 100.0, digits)
 
 
 def multiple(target: str = "target") -> Column:
@@ -77,9 +78,9 @@ def _document(**parts: DataFrame | Column) -> DataFrame:
 def research(parts: dict[str, DataFrame], start: str, horizon: int = targets.HORIZON) -> DataFrame:
     c = F.col
     sig = study.significant(c("low"), c("high"))
-    ic = F.struct(F.round("ic", 3).alias("ic"), F.round("low", 3).alias("lo"), F.round("high", 3).alias("hi"), "n", sig.alias("sig"))
-    rates = parts["breach_rates"].select("symbol", multiple().alias("key"), F.round("rate", 1).alias("x"))
-    tails = parts["breach_rates"].select("symbol", F.lit("median_upside_tail").alias("key"), F.round("median_tail", 2).alias("x")).distinct()
+    ic = F.struct(rounded(c("ic"), 3).alias("ic"), rounded(c("low"), 3).alias("lo"), rounded(c("high"), 3).alias("hi"), "n", sig.alias("sig"))
+    rates = parts["breach_rates"].select("symbol", multiple().alias("key"), rounded(c("rate"), 1).alias("x"))
+    tails = parts["breach_rates"].select("symbol", F.lit("median_upside_tail").alias("key"), rounded(c("median_tail"), 2).alias("x")).distinct()
     cuts = parts["cutoffs"].unpivot(["symbol"], [name for name, *_ in study.CUTOFFS], "key", "x")
     side = F.struct(percent("diff", 3).alias("point"), percent("low", 3).alias("lo"), percent("high", 3).alias("hi"), c("n_on").alias("n"))
     name = reduce(lambda out, k: out.when(c("target") == k, FOREST[k]), FOREST, F.when(F.lit(False), ""))
@@ -107,7 +108,7 @@ def threshold_sweep(parts: dict[str, DataFrame]) -> DataFrame:
         cells = cells.join(side(on, k), cell, "left")
     cells = cells.join(parts["quantiles"], ["symbol", "signal", "q"])
     entry = F.struct(
-        F.round("cut", 4).alias("cutoff"), F.round((F.lit(1.0) - c("q")) * 100.0, 0).alias("top_pct"), F.round(c("q") * 100.0, 0).alias("bottom_pct"), "top", "bottom", "diff"
+        rounded(c("cut"), 4).alias("cutoff"), F.round((F.lit(1.0) - c("q")) * 100.0, 0).alias("top_pct"), F.round(c("q") * 100.0, 0).alias("bottom_pct"), "top", "bottom", "diff"
     )
     named = cells.withColumn("signal", published("signal")).withColumn("mult", multiple()).withColumn("pct", F.round(c("q") * 100.0, 0).cast("int"))
     return _document(

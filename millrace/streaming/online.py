@@ -1,15 +1,9 @@
-"""Streaming twins: windowed event aggregates with late data, and an online ledger fold."""
+"""Windowed event aggregates with late data, over a table or a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 BUCKET = "1 hour"
 
@@ -21,34 +15,3 @@ def event_buckets(events: DataFrame, late: str = "10 minutes") -> DataFrame:
         rows = rows.withWatermark("ts", late)
     out = rows.groupBy("event_type", F.window("ts", BUCKET)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("bucket"), "n", F.round("total", 4).alias("total"))
-
-
-STATE = StructType([StructField("n", LongType()), StructField("balance", DoubleType()), StructField("last", TimestampType())])
-OUTPUT = StructType([StructField("key", StringType()), StructField("ts", TimestampType()), StructField("n", LongType()), StructField("balance", DoubleType())])
-
-
-class Accruing(StatefulProcessor):
-    """A keyed balance that earns simple interest between entries: the ledger's cash, online."""
-
-    def __init__(self, rate: float):
-        self.rate = rate
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("account", STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, balance, last = self.state.get() if self.state.exists() else (0, 0.0, None)
-        batch = pd.concat(list(rows)).sort_values("ts")
-        for ts, amount in zip(batch["ts"], batch["amount"]):
-            days = (ts - last).total_seconds() / 86400 if last is not None else 0.0
-            n, balance, last = n + 1, balance * (1 + self.rate * days / 365) + float(amount), ts
-        self.state.update((n, balance, last))
-        yield pd.DataFrame({"key": [key[0]], "ts": [last], "n": [n], "balance": [balance]})
-
-    def close(self) -> None:
-        pass
-
-
-def online_balances(entries: DataFrame, rate: float) -> DataFrame:
-    """Running balances of a stream of (key, ts, amount); entries of a key must come in order of time."""
-    return entries.groupBy("key").transformWithStateInPandas(Accruing(rate), OUTPUT, "Update", "None")
