@@ -76,7 +76,17 @@ def lookup(wanted: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def held_quotes(held: DataFrame, chain: DataFrame) -> DataFrame:
-    """Quotes of held contracts (symbol, opened, expiration, strike, option_type) over the sessions of their lives."""
+    """Quotes of held contracts (symbol, opened, expiration, strike, option_type) over the sessions of their lives.
+
+    A contract's openings and quotes are one stream in the order of time, an opening
+    before the quotes of its session, and every quote meets the positions that are open
+    by then: the rows that come out are all that is made.
+    """
     on = ["symbol", "expiration", "strike", "option_type"]
-    quotes = chain.select(*on, "session", "bid", "ask")
-    return held.join(quotes, on).where(F.col("session").between(F.col("opened"), F.col("expiration")))
+    opens = held.select(*on, F.col("opened").alias("session"), F.lit(0).alias("_side"), "opened", F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"))
+    # Quotes of contracts that are never held need not be sorted; a large table of them is dealt out by contract here already.
+    chain = chain.where("session <= expiration").join(held.select(*on).distinct(), on, "left_semi")
+    quotes = chain.select(*on, "session", F.lit(1).alias("_side"), F.lit(None).cast(held.schema["opened"].dataType).alias("opened"), "bid", "ask")
+    w = Window.partitionBy(*on).orderBy("session", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = opens.unionByName(quotes).withColumn("_open", F.collect_list("opened").over(w)).where("_side = 1")
+    return rows.select(*on, F.explode("_open").alias("opened"), "session", "bid", "ask")

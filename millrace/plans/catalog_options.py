@@ -177,7 +177,7 @@ HELD = "min(bid) AS bid, min(ask) AS ask"
        + f"""SELECT pk.symbol, pk.session AS opened, pk.expiration, pk.strike, q.session, {r('(q.bid + q.ask) / 2e0', 'mid')} FROM pk JOIN qs q ON q.symbol = pk.symbol AND q.expiration = pk.expiration AND q.strike = pk.strike AND q.option_type = 'C'
 WHERE q.session BETWEEN pk.session AND pk.expiration""")
 def position_mark_interval_join(spark: SparkSession, d: str) -> DataFrame:
-    held = picks(spark, d).select("symbol", F.col("session").alias("opened"), "expiration", "strike", "option_type")
+    held = staged(picks(spark, d).select("symbol", F.col("session").alias("opened"), "expiration", "strike", "option_type"), "held")
     rows = selection.held_quotes(held, S.chain(spark, d))
     rows = rows.groupBy("symbol", "opened", "expiration", "strike", "session").agg(((F.min("bid") + F.min("ask")) / 2.0).alias("mid"))
     return rounded(rows)
