@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
@@ -55,13 +56,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    for held in _scopes:
+    for held in _scopes.get():
         held.append(path)
     return path
 
 
-#: Paths made inside each open ``scratch`` block.
-_scopes: list[list[str]] = []
+#: Paths made inside each open ``scratch`` block of this thread of work; others have blocks of their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -77,11 +78,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     cannot be used after it.
     """
     held: list[str] = []
-    _scopes.append(held)
+    before = _scopes.set((*_scopes.get(), held))
     try:
         yield
     finally:
-        _scopes.remove(held)
+        _scopes.reset(before)
         for path in held:
             _delete(spark, path)
 

@@ -105,7 +105,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, rid.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, rid, source_key.
 
     Size is the number of words between ASCII white space; a null text has none.
     A null source is a source of its own, last in order. ``copies`` says how often
@@ -152,10 +152,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     chosen = stage(aimed.groupBy("key").applyInPandas(choose, kinds), "chosen")
     copies = F.col("each") + (F.col("position") - F.col("first") < F.col("more")).cast("long")
     return beside(ranked, chosen, ["key", "size"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rid"
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rid", F.col("key").alias("source_key")
     )
 
 
+def sources_near(rows: DataFrame, words: int = 10) -> DataFrame:
+    """Rows of ``mix`` with ``near``: whether what their source gives lies within so many words of its target."""
+    given = rows.groupBy("source_key").agg(F.sum("taken").alias("_given"), F.count("*").alias("n"))
+    return beside(rows, given, ["source_key"]).withColumn("near", F.abs(F.col("_given") - F.col("target")) <= words).drop("_given")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix holds them: each row as often as chosen, all columns kept.
 

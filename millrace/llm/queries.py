@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import conversations, embeddings, exact, lines, mixing, neardup, packing, pii, search, sharding, tokencounts, toxicity, whitening
-from millrace.llm.common import read
+from millrace.llm.common import read, stage
 from millrace.llm.oracles import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,7 @@ def op9_fast_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("rid")
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("rid", "source_key")
 
 
 def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,8 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10's sizes and targets, and whether what each source gives lies within ten words of its target."""
-    rows = op10_subset_sum_mixing(spark, sf_dir)
-    source = Window.partitionBy("source_size", "target")
-    near = (F.abs(F.sum("taken").over(source) - F.col("target")) <= 10).alias("near")
-    return rows.select("doc_id", "size", "source_size", (F.round("target", 4) + F.lit(0.0)).alias("target"), near)
+    rows = mixing.sources_near(stage(mixing.mix(read(spark, sf_dir, "documents")), "mix"))
+    return rows.select("doc_id", "size", "source_size", (F.round("target", 4) + F.lit(0.0)).alias("target"), "near")
 
 
 def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,8 +114,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: bool = False) -> DataFram
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` as one folder per shard, rows in curve order; a large shard gets several files."""
-    placed = shard(docs, shards, keep=True)
-    columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "shard"]
-    rows = placed.select("shard", "slot", "row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    rows.select("shard", *columns).write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one folder per shard, rows in curve order; a large shard gets several files.
+
+    All columns are kept. Folders are named by ``shard``, or by that name with underscores
+    before it as long as a column of ``docs`` has it. Null texts are sharded as empty ones
+    and stay null; an empty table writes none.
+    """
+    folder = "shard"
+    while folder.lower() in (c.lower() for c in docs.columns):
+        folder = f"_{folder}"
+    placed = shard(docs, shards, keep=True).select(F.col("shard").alias("_in"), F.col("slot").alias("_at"), "row")
+    rows = placed.repartitionByRange("_in", "_at").sortWithinPartitions("_in", "_at")
+    rows.select(F.col("_in").alias(folder), *[F.col("row").getField(c).alias(c) for c in docs.columns]).write.partitionBy(folder).parquet(path)

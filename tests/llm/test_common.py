@@ -60,6 +60,29 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     assert not list((tmp_path / "millrace").glob("five*"))
 
 
+def test_scratch_leaves_other_threads_tables(spark):
+    """A block that ends while another thread has staged a table takes only its own along."""
+    from threading import Event, Thread
+
+    staged, ended, counts = Event(), Event(), []
+
+    def other() -> None:
+        with C.scratch(spark):
+            df = C.stage(spark.range(7), "other")
+            staged.set()
+            ended.wait(60)
+            counts.append(df.count())
+
+    thread = Thread(target=other)
+    with C.scratch(spark):
+        thread.start()
+        assert staged.wait(60)
+        C.stage(spark.range(3), "own")
+    ended.set()
+    thread.join()
+    assert counts == [7]
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://host:7077"

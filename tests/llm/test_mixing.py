@@ -86,6 +86,14 @@ def test_mix(spark, seed):
     assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
 
 
+def test_tied_sources_are_told_apart(spark):
+    """Four sources of as many words, two of them with the same target as well: each one comes near its own."""
+    rows = [(100 * k + i, "w " * n, s) for k, s in enumerate("abcd") for i, n in enumerate([*range(1, 40), 130])]
+    got = mixing.sources_near(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))).collect()
+    assert len(got) == len(rows) and len({r.source_size for r in got}) == 1 and len({r.target for r in got}) == 3
+    assert all(r.near for r in got)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).collect() == [] and mixing.mixed(docs).collect() == []

@@ -48,6 +48,13 @@ def test_files_hold_every_row(spark, tmp_path):
     assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(5))
 
 
+def test_a_column_named_shard_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "t" * i, "en", "s", 1, 100 + i) for i in range(40)], SCHEMA + ", shard int")
+    write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.shard for r in back.collect()) == list(range(100, 140)) and {r._shard for r in back.collect()} == set(range(4))
+
+
 def test_one_cell_with_most_rows_and_a_very_long_text(spark):
     rows = [(5, "same", "en", "s", 1)] * 400 + [(i, "t" * (i % 9), "de", "r", 1) for i in range(90)] + [(91, "long " * 400_000, "de", "r", 1)]
     got = shard(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
