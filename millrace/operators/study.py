@@ -78,23 +78,23 @@ CONDITIONS = (
 COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
-def named_cutoffs(weeks: DataFrame) -> DataFrame:
-    """(symbol, a column per cutoff), rounded as they are reported."""
-    probabilities = tuple(sorted({q for _, _, q, _ in CUTOFFS}))
-    found = quantiles(long(weeks, sorted({s for _, s, _, _ in CUTOFFS}), "signal", "s"), ["symbol", "signal"], "s", probabilities)
+def named_cutoffs(weeks: DataFrame, cutoffs: tuple = CUTOFFS) -> DataFrame:
+    """(symbol, a column per cutoff), rounded as they are reported; ``cutoffs`` are rows like those of ``CUTOFFS``."""
+    probabilities = tuple(sorted({q for _, _, q, _ in cutoffs}))
+    found = quantiles(long(weeks, sorted({s for _, s, _, _ in cutoffs}), "signal", "s"), ["symbol", "signal"], "s", probabilities)
     at = lambda signal, q: F.max(F.when(F.col("signal") == signal, F.get("quantiles", F.lit(probabilities.index(q)))))
-    return found.groupBy("symbol").agg(*[published(at(signal, q), digits).alias(name) for name, signal, q, digits in CUTOFFS])
+    return found.groupBy("symbol").agg(*[published(at(signal, q), digits).alias(name) for name, signal, q, digits in cutoffs])
 
 
-def conditions(weeks: DataFrame) -> DataFrame:
-    """(symbol, week, condition, on): thirteen named predicates; a null signal is off.
+def conditions(weeks: DataFrame, table: tuple = CONDITIONS, cutoffs: tuple = CUTOFFS) -> DataFrame:
+    """(symbol, week, condition, on): named predicates, the thirteen published ones or a caller's; a null signal is off.
 
     Cutoffs are taken per symbol from all its weeks and rounded as they are reported:
     three digits for correlations, four for trends, one for the index and the oscillator.
     """
-    rows = weeks.join(named_cutoffs(weeks), "symbol")
+    rows = weeks.join(named_cutoffs(weeks, cutoffs), "symbol") if cutoffs else weeks
     against = lambda x: F.col(f"`{x}`") if isinstance(x, str) else F.lit(x)
-    named = {name: COMPARE[how](F.col(signal), against(x)) for name, signal, how, x in CONDITIONS}
+    named = {name: COMPARE[how](F.col(signal), against(x)) for name, signal, how, x in table}
     flags = F.array(*[F.struct(F.lit(name).alias("condition"), flag(x).alias("on")) for name, x in named.items()])
     return rows.select("symbol", "week", F.inline(flags))
 

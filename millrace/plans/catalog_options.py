@@ -97,6 +97,20 @@ def bs_greeks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select(*IDS, pricing.bs_greeks(*_args(rows)).alias("g")).select(*IDS, "g.*"))
 
 
+COST = {"sized": f"""SELECT *, ask * 1e2 AS cost, (-spot * exp(-1.3e-2 * t) * pdf * 2e-1 / (2e0 * sqrt(t)) - sg * 3e-2 * strike * exp(-3e-2 * t) * n2 + sg * 1.3e-2 * spot * exp(-1.3e-2 * t) * n1) / 3.65e2 AS theta FROM b3"""}
+
+
+@query("contract_cost", with_tables("chain", extra=BS | COST) + f"""SELECT {ID}, {r('cost', 'cost', 4)}, {r('theta', 'theta_per_day')},
+coalesce(ask > 0 AND bid <= ask AND bid > 0 AND open_interest > 0, false) AS sellable, coalesce(ask > 0 AND bid <= ask AND open_interest > 0, false) AS buyable FROM sized""")
+def contract_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What a contract costs, what it loses a day, and whether its quote stands with the open interest as its sizes."""
+    size = F.col("open_interest")
+    ok = [quotes.quote_ok(F.col("bid"), F.col("ask"), sell, size, size).alias(k) for k, sell in (("sellable", True), ("buyable", False))]
+    rows = S.chain(spark, d)
+    theta = pricing.per_day_theta(pricing.bs_greeks(*_args(rows))["theta"])
+    return rounded(rows.select(*IDS, F.round(quotes.per_contract_cost(F.col("ask")), 4).alias("cost"), theta.alias("theta_per_day"), *ok))
+
+
 BOUNDS = {"bd": "SELECT *, exp(-3e-2 * dte / 3.65e2) AS df, spot * exp((3e-2 - 1.3e-2) * dte / 3.65e2) AS fwd FROM chain"}
 
 

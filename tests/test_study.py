@@ -78,6 +78,15 @@ def test_conditions_follow_their_table(spark):
     assert on["vol_top_tercile"] == on["vol_hi_tercile"] == 20 and on["vol_lo_tercile"] == on["rsi14_lo_tercile"] == 20 and on["trend_84d_top_decile"] == 6
 
 
+def test_a_callers_own_conditions(spark):
+    rows = [("A", w, float(k)) for k, w in enumerate(weeks(40))] + [("B", w, 10.0 * k) for k, w in enumerate(weeks(40))]
+    df = spark.createDataFrame(rows, "symbol string, week date, x double")
+    got = study.conditions(df, (("low", "x", "<", 5.0), ("top", "x", ">=", "x_hi")), (("x_hi", "x", 0.75, 1),)).where("on").groupBy("symbol", "condition").count().collect()
+    assert {(r.symbol, r.condition): r["count"] for r in got} == {("A", "low"): 5, ("B", "low"): 1, ("A", "top"): 10, ("B", "top"): 10}
+    alone = study.conditions(df, (("low", "x", "<", 5.0),), ())
+    assert alone.where("on").count() == 6 and alone.columns == ["symbol", "week", "condition", "on"]
+
+
 def test_null_signals_fall_in_the_bottom_bucket(spark):
     rows = [("A", w, None if k % 2 else 1.0, float(k)) for k, w in enumerate(weeks(60))]
     df = spark.createDataFrame(rows, "symbol string, week date, sig double, breach_10 double")
