@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
             sinks.write_json(rows, f"{a.out}/{name}")
         return
     keys = list(ledger.RUN)
-    log = run_backtests(spark, a.root, tuple(a.symbols), a.scenario, a.delta, start=a.start, end=a.end).cache()
+    log = staged(run_backtests(spark, a.root, tuple(a.symbols), a.scenario, a.delta, start=a.start, end=a.end), "log")
     for name, rows in (("equity", ledger.equity_log(log)), ("trades", ledger.trade_log(log)), ("events", ledger.event_log(log))):
         sinks.write_logs(rows, f"{a.out}/{name}")
     equity = ledger.equity_log(log)

@@ -120,16 +120,11 @@ SECTORS = ("XLB", "XLE", "XLF", "XLI", "XLK", "XLP", "XLU", "XLV", "XLY")
 
 
 def sector_series(spark: SparkSession, root: str) -> DataFrame:
-    """(sector, date, close) of all sector funds, from the sectors folder or else beside the other prices."""
-    frames = []
-    for s in SECTORS:
-        path = f"{root}/prices_long/sectors/{s}.parquet"
-        path = path if exists(spark, path) else f"{root}/prices_long/{s}.parquet"
-        frames.append(spark.read.parquet(path).select(F.lit(s).alias("sector"), F.to_date("date").alias("date"), F.col("adjClose").cast("double").alias("close")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """(sector, date, close) of all sector funds as one scan, from the sectors folder or else beside the other prices."""
+    nested = {s: f"{root}/prices_long/sectors/{s}.parquet" for s in SECTORS}
+    paths = [path if exists(spark, path) else f"{root}/prices_long/{s}.parquet" for s, path in nested.items()]
+    name = F.regexp_extract(F.url_decode("_metadata.file_path"), rf"/({'|'.join(SECTORS)})\.parquet", 1)
+    return spark.read.parquet(*paths).select(name.alias("sector"), F.to_date("date").alias("date"), F.col("adjClose").cast("double").alias("close"))
 
 
 def eigen_features(spark: SparkSession, root: str) -> DataFrame:
