@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Context
 
 import numpy as np
 import pyarrow as pa
@@ -90,14 +91,30 @@ def _fold(first: dict, rest: Iterator[dict]) -> dict:
     return first
 
 
-def _deviation(y: np.ndarray, exact: bool) -> pa.Array:
-    """Sums of squares of the rows of integers as decimals."""
-    if not exact:
-        return pc.cast(pa.array((y * y).sum(axis=1)), pa.decimal128(38))
-    from decimal import Context, Decimal
+def _centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
+    """n x - S in whole numbers: 64 bits where they do, Python's own elsewhere."""
+    if n * int(np.abs(x).max(initial=0)) + max(map(abs, sums)) < 2**63:
+        return x * n - np.array(sums)
+    return x.astype(object) * n - np.array(sums, object)
+
+
+_LIMB = 26
 
+
+def _deviation(y: np.ndarray) -> pa.Array:
+    """Exact sums of squares of the rows of whole numbers, as decimals."""
+    most, d = int(np.abs(y).max(initial=0)), y.shape[1]
+    if d * most**2 < 2**63:
+        return pc.cast(pa.array((y * y).sum(axis=1)), pa.decimal128(38))
+    if most < 2 ** (2 * _LIMB) and d <= 1024:
+        # In two halves, whose squares and product add up in 64 bits; a row's three sums are put together once.
+        high, low = np.abs(y) >> _LIMB, np.abs(y) & (2**_LIMB - 1)
+        parts = [z.sum(axis=1).tolist() for z in (high * high, high * low, low * low)]
+        found = [(p << 2 * _LIMB) + (q << _LIMB + 1) + r for p, q, r in zip(*parts)]
+    else:
+        found = [sum(int(v) ** 2 for v in r) for r in y]
     whole = Context(prec=60)
-    return pa.array([whole.create_decimal(sum(int(v) ** 2 for v in r)) if len(r) else Decimal(0) for r in y], pa.decimal128(38))
+    return pa.array([whole.create_decimal(v) for v in found], pa.decimal128(38))
 
 
 def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
@@ -134,14 +151,13 @@ def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
             for at, x in _blocks(b, "x"):
                 d = x.shape[1]
                 n, sums, values, bases, trace = fits[d]
-                exact = d * (n * int(np.abs(x).max(initial=0)) + max(map(abs, sums))) ** 2 >= 2**62
-                y = x.astype(object) * n - np.array(sums, object) if exact else x * n - np.array(sums)
+                y = _centred(x, n, sums)
                 live = values > trace * d * np.finfo(float).eps
                 # The whole numbers n x - S are divided once, so x - S / n is not a difference of rounded figures.
                 w = (y / n).astype(float) @ bases[:, live] / np.sqrt(values[live])
                 width = int(live.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(at)), pa.array(np.full(len(at), d), pa.int32()), _deviation(y, exact), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), pa.array(w.ravel()))],
+                    [b.column("id").take(pa.array(at)), pa.array(np.full(len(at), d), pa.int32()), _deviation(y), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), pa.array(w.ravel()))],
                     ["id", "dim", "deviation", "w"],
                 )
         give_back()

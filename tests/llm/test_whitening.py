@@ -70,6 +70,12 @@ def test_directions_without_spread_have_no_scale(spark):
     assert [(r["whitened"], r["explained"], r["identity_error"], int(r["deviation"])) for r in alone[1]] == [(None, None, None, 0)] * 2
 
 
+@pytest.mark.parametrize("size", [10**3, 10**9, 2**31, 2**40, 2**51, 2**52, 2**60])
+def test_deviations_in_every_number_type(size):
+    y = np.random.default_rng(size % 97).integers(-size, size + 1, (50, 64))
+    assert [int(v) for v in W._deviation(y).to_pylist()] == [sum(int(c) ** 2 for c in r) for r in y]
+
+
 def test_exact_beyond_64_bits(spark):
     rows = [(1, [2.0**38, 0.0]), (2, [-(2.0**38), 1.0]), (3, [5.0, 5.0])]
     got = by_row(frame(spark, rows))
